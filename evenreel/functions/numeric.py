@@ -59,6 +59,14 @@ def clip_stars(value: Column) -> Column:
     return F.greatest(F.lit(MIN_STARS), F.least(F.lit(MAX_STARS), value))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate; null instead of an error without spread."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 def decade(year: Column) -> Column:
     return (F.floor(year / F.lit(10.0)) * 10).cast("int")
 

@@ -104,8 +104,9 @@ def sequel_marker(normalized: Column) -> Column:
 
 def sequel_conflict(query: Column, forms: Column) -> Column:
     """True when no candidate form carries the sequel mark of the query."""
-    mark = sequel_marker(query)
-    return F.forall(forms, lambda form: ~sequel_marker(form).eqNullSafe(mark))
+    unmarked = F.lit("")
+    marks = F.transform(forms, lambda form: F.coalesce(sequel_marker(form), unmarked))
+    return ~F.array_contains(marks, F.coalesce(sequel_marker(query), unmarked))
 
 
 def imdb_tt(number: Column) -> Column:

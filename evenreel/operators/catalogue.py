@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenreel.functions.numeric import band_ordinal, popularity_band
@@ -60,7 +61,7 @@ def band_report(catalogue: DataFrame) -> DataFrame:
     counts = catalogue.groupBy(
         band_ordinal(votes).alias("band_no"), popularity_band(votes).alias("band")
     ).agg(F.count(F.lit(1)).alias("films"))
-    total = catalogue.agg(F.count(F.lit(1))).scalar()
+    total = F.sum("films").over(W.partitionBy())  # eight bands
     return counts.withColumn("share", F.col("films") / total).orderBy("band_no")
 
 

@@ -14,6 +14,7 @@ from evenreel.operators.ordering import score_ranges
 from evenreel.operators.personal import folds
 from evenreel.operators.ranking import comparable
 from evenreel.operators.reports import spearman
+from evenreel.session import written
 
 
 def cross_validate(
@@ -26,7 +27,7 @@ def cross_validate(
     """
     parts = []
     for repeat in range(repeats):
-        placed = folds(rated, k, seed=seed + repeat)
+        placed = written(folds(rated, k, seed=seed + repeat), "folds")
         for fold in range(k):
             train = placed.where(F.col("fold") != fold).drop("fold")
             test = placed.where(F.col("fold") == fold).drop("fold")
@@ -42,7 +43,7 @@ def cross_validate(
                         F.col("predicted").cast("double").alias("predicted"),
                     )
                 )
-    return reduce(DataFrame.unionByName, parts)
+    return written(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
 
 def cv_global_mean(rated: DataFrame, *, k: int = 5, seed: int = 0) -> DataFrame:

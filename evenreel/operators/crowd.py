@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenreel.functions.numeric import half_even
@@ -172,7 +173,7 @@ def mapping_report(
             F.count_if(F.col("raters") >= min_raters).alias("pool_sized"),
         )
     )
-    total = report.agg(F.sum("ratings").cast("double")).scalar()
+    total = F.sum("ratings").over(W.partitionBy())  # one row per route
     return report.withColumn("share", F.col("ratings") / total).orderBy(F.desc("ratings"), "how")
 
 

@@ -77,13 +77,15 @@ def _rows_before(cells: DataFrame, group: Sequence[str], order: Sequence[str]) -
 
 
 def value_counts(
-    frame: DataFrame, group: Sequence[str], value: str, spread: Column
+    frame: DataFrame, group: Sequence[str], value: str, spread: Column, *, weight: Column | None = None
 ) -> DataFrame:
     """Distinct values of each group with ``_n`` rows and ``_before`` smaller rows.
 
     ``spread`` maps a value to its range number and must not fall as values rise.
+    ``weight`` counts a row several times.
     """
-    cells = frame.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    cells = frame.groupBy(*group, value).agg(rows.alias("_n"))
     return _rows_before(cells.withColumn("_range", spread), group, [value])
 
 
@@ -136,18 +138,22 @@ def ordinal_rank(
     )
 
 
-def hash_rank(frame: DataFrame, tie: Column, rank: str, *, order: Sequence[str] = ()) -> DataFrame:
+def hash_rank(
+    frame: DataFrame, tie: Column, rank: str, *, order: Sequence[str] = (), total: str | None = None
+) -> DataFrame:
     """1, 2, 3 ... over the whole table in hash order, without a one-task sort.
 
     Leading digits of a hash are even ranges by construction: count them, then
-    number the rows inside each.
+    number the rows inside each. ``total`` names a column for the row count.
     """
     keyed = frame.withColumns({"_tie": tie, "_digits": F.substring(tie, 1, HASH_PREFIX)})
     totals = keyed.groupBy("_digits").agg(F.count(F.lit(1)).alias("_n"))
     # at most 16 ** HASH_PREFIX rows, whatever the table holds
     across = W.orderBy("_digits").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        "_digits", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before")
+        "_digits",
+        F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"),
+        *([F.sum("_n").over(W.partitionBy()).alias(total)] if total else []),
     )
     place = F.row_number().over(W.partitionBy("_digits").orderBy("_tie", *order))
     return (
@@ -160,11 +166,9 @@ def hash_rank(frame: DataFrame, tie: Column, rank: str, *, order: Sequence[str]
 
 def sample_share(frame: DataFrame, tie: Column, share: float, *, at_least: int = 1) -> DataFrame:
     """Exactly ``round(share * n)`` rows, chosen by hash order."""
-    ranked = hash_rank(frame, tie, "_rank")
-    wanted = frame.agg(
-        F.greatest(F.rint(F.count(F.lit(1)) * F.lit(share)), F.lit(float(at_least))).alias("k")
-    ).scalar()
-    return ranked.where(F.col("_rank") <= wanted).drop("_rank")
+    ranked = hash_rank(frame, tie, "_rank", total="_total")
+    wanted = F.greatest(F.rint(F.col("_total") * F.lit(share)), F.lit(float(at_least)))
+    return ranked.where(F.col("_rank") <= wanted).drop("_rank", "_total")
 
 
 def largest(frame: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

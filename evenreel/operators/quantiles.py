@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenreel.operators.ordering import value_counts
 
 
-def quantile_edges(reference: DataFrame, column: str, bins: int) -> Column:
-    """Distinct quantile edges of a column, as one array value.
+def quantile_edges(reference: DataFrame, column: str, bins: int) -> list[float]:
+    """Distinct quantile edges of a column: at most ``bins + 1`` numbers.
 
     Exact percentiles keep one counter per distinct value; vote counts are small
     integers, so that map stays small however many films there are.
     """
     points = [i / bins for i in range(bins + 1)]
-    return reference.agg(
-        F.array_distinct(F.percentile(F.col(column).cast("double"), points))
-    ).scalar()
+    edges = reference.agg(F.percentile(F.col(column).cast("double"), points)).first()[0]
+    return sorted(set(edges or []))
 
 
 def quantile_buckets(reference: DataFrame, column: str, value: Column, bins: int) -> Column:
@@ -27,9 +29,10 @@ def quantile_buckets(reference: DataFrame, column: str, value: Column, bins: int
     cut nothing, and every bucket is null.
     """
     edges = quantile_edges(reference, column, bins)
-    below = F.size(F.filter(edges, lambda edge: edge < value))
-    inside = (value >= F.element_at(edges, 1)) & (value <= F.element_at(edges, -1))
-    return F.when((F.size(edges) >= 3) & inside, F.greatest(below, F.lit(1)))
+    if len(edges) < 3:
+        return F.lit(None).cast("int")
+    below = reduce(add, [F.when(value > edge, 1).otherwise(0) for edge in edges])
+    return F.when(value.between(edges[0], edges[-1]), F.greatest(below, F.lit(1)))
 
 
 def vote_ranges(votes: Column) -> Column:

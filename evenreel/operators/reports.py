@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenreel.functions.numeric import decade
-from evenreel.operators.ordering import average_rank, largest, score_ranges
+from evenreel.operators.ordering import largest, score_ranges, value_counts
 from evenreel.operators.quantiles import quantile_buckets
 
 # Vote counts under which a film counts as obscure.
@@ -26,18 +27,42 @@ def spearman(
     out: str = "spearman",
     min_rows: int = 3,
 ) -> DataFrame:
-    """Rank correlation per group; null under three rows or without spread."""
+    """Rank correlation per group; null under three rows or without spread.
+
+    Rows are first counted per distinct (left, right) pair, so hot pairs collapse
+    map-side and the rows themselves are read once. Ranks of n rows always have
+    the mean (n + 1) / 2.
+    """
     group = list(group)
-    pairs = frame.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(
-        *group, F.col(left).cast("double").alias(left), F.col(right).cast("double").alias(right)
+    pairs = (
+        frame.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+        .select(
+            *group, F.col(left).cast("double").alias(left), F.col(right).cast("double").alias(right)
+        )
+        .groupBy(*group, left, right)
+        .agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    )
+
+    def ranks(value: str, name: str, spread: Column) -> DataFrame:
+        cells = value_counts(pairs, group, value, spread, weight=F.col("_w"))
+        return cells.select(*group, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+
+    ranked = pairs.join(ranks(left, "_l", left_spread), [*group, left]).join(
+        ranks(right, "_r", right_spread), [*group, right]
     )
-    ranked = average_rank(
-        average_rank(pairs, group, left, "_left", left_spread), group, right, "_right", right_spread
+    sums = ranked.groupBy(*group).agg(
+        F.sum("_w").alias("_n"),
+        F.sum(F.col("_w") * F.col("_l") * F.col("_l")).alias("_ll"),
+        F.sum(F.col("_w") * F.col("_r") * F.col("_r")).alias("_rr"),
+        F.sum(F.col("_w") * F.col("_l") * F.col("_r")).alias("_lr"),
     )
-    spread = (F.stddev_pop("_left") > 0) & (F.stddev_pop("_right") > 0)
-    return ranked.groupBy(*group).agg(
-        F.when((F.count(F.lit(1)) >= min_rows) & spread, F.corr("_left", "_right")).alias(out)
+    centre = F.col("_n") * ((F.col("_n") + 1) / 2) * ((F.col("_n") + 1) / 2)
+    spreads = (F.col("_ll") - centre > 0.25) & (F.col("_rr") - centre > 0.25)
+    product = F.sqrt((F.col("_ll") - centre) * (F.col("_rr") - centre))
+    rho = F.when(
+        (F.col("_n") >= min_rows) & spreads, (F.col("_lr") - centre) / F.nullif(product, F.lit(0.0))
     )
+    return sums.select(*group, rho.alias(out))
 
 
 def star_ranges(value: Column) -> Column:
@@ -148,13 +173,9 @@ def vote_histogram(films: DataFrame, *, width: float = 0.5) -> DataFrame:
     logged = films.where(F.col("vote_count").isNotNull()).select(
         F.floor(F.log1p(F.col("vote_count").cast("double")) / width).cast("int").alias("bin")
     )
-    total = logged.agg(F.count(F.lit(1))).scalar()
-    return (
-        logged.groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("films"))
-        .withColumn("density", F.col("films") / (total * F.lit(width)))
-        .orderBy("bin")
-    )
+    counts = logged.groupBy("bin").agg(F.count(F.lit(1)).alias("films"))
+    total = F.sum("films").over(W.partitionBy())  # a few dozen bins
+    return counts.withColumn("density", F.col("films") / (total * F.lit(width))).orderBy("bin")
 
 
 def explode_rating(rated: DataFrame, column: str) -> DataFrame:

@@ -14,6 +14,7 @@ from evenreel.plans.oracle import band, band_no, spearman, statement
 from evenreel.plans.registry import query, r6
 from evenreel.plans.tables_queries import _COVERAGE, _joined
 from evenreel.plans.views import HISTORY_SIZES
+from evenreel.session import written
 
 KEYS = ["user_id", "film_key"]
 
@@ -1059,13 +1060,15 @@ def stratified_rank(t):
     ratings = t.crowd_a()
     cold, test = protocol.cold_items(ratings), _test_users(t)
     tower = _tower(t, item_bias=models.BORROWED, borrowed=_lent(t))
-    tower.fit(protocol.train_ratings(ratings, test, cold))
-    cases = protocol.cold_cases(ratings.join(test, "userId", "left_semi"), cold, HISTORY_SIZES)
+    tower.fit(written(protocol.train_ratings(ratings, test, cold), "train"))
+    cases = written(
+        protocol.cold_cases(ratings.join(test, "userId", "left_semi"), cold, HISTORY_SIZES), "cases"
+    )
     by = ["n_given", "userId"]
     scored = tower.score_with_known(
         cases.where("given").drop("given"), cases.where(~F.col("given")).drop("given"), by
     )
-    return ranking.interleave(scored, by).select(*by, "movieId", "known", *r6("score", "rank_score"))
+    return ranking.interleave(written(scored, "scores"), by).select(*by, "movieId", "known", *r6("score", "rank_score"))
 
 
 def _cold_targets(t):
@@ -1074,7 +1077,7 @@ def _cold_targets(t):
     cold, test = protocol.cold_items(ratings), _test_users(t)
     model = models.ItemMean().fit(protocol.train_ratings(ratings, test, cold))
     cases = protocol.cold_cases(ratings.join(test, "userId", "left_semi"), cold, HISTORY_SIZES)
-    return protocol.score_cases([model], cases)
+    return protocol.score_cases([model], written(cases, "cases"))
 
 
 @query(
@@ -1353,9 +1356,13 @@ _HOUSE = {
 
 
 def _house(t):
-    feats = features.film_features(t.house())
-    return feats.join(t.house().select("tmdb_id", "rating"), "tmdb_id").select(
-        F.col("tmdb_id").alias("row"), "tmdb_id", "rating", "crowd_shrunk", "log_votes"
+    shrunk = num.crowd_shrunk(F.col("vote_average"), F.col("vote_count"))
+    return t.house().select(
+        F.col("tmdb_id").alias("row"),
+        "tmdb_id",
+        "rating",
+        shrunk.alias("crowd_shrunk"),
+        F.log1p(F.col("vote_count").cast("double")).alias("log_votes"),
     )
 
 

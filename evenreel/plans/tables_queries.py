@@ -46,7 +46,7 @@ def scan_flat_csv(t):
              union all
              select coalesce(k.film_key, 'ty:' || lower(o.p_name) || ':' || (o.p_size + 1950)), o.p_name, o.p_size + 1950,
                     'diary', (o.p_size % 10 + 1)::double / 2, o.p_type = 'LARGE', 'diary.csv', false
-             from part o left join (select p_name, p_size, min(p_partkey)::varchar as film_key from part group by all) k
+             from part o left join (select p_name, p_size, min(p_partkey::varchar) as film_key from part group by all) k
                on k.p_name = o.p_name and k.p_size = o.p_size)
            group by all"""
     ),
