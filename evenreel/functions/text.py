@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -133,13 +132,16 @@ def finite_number(raw: Column) -> Column:
 
 
 def _common_subsequence(left: str, right: str) -> int:
-    """Longest common subsequence length, one numpy row per left character."""
-    codes = np.frombuffer(right.encode("utf-32-le"), dtype=np.uint32)
-    best = np.zeros(len(codes) + 1, dtype=np.int32)
-    for ch in left:
-        hit = np.where(codes == ord(ch), best[:-1] + 1, 0)
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], hit))
-    return int(best[-1])
+    """Longest common subsequence length, a whole table row per integer operation."""
+    full = (1 << len(left)) - 1
+    places: dict[str, int] = {}
+    for i, ch in enumerate(left):
+        places[ch] = places.get(ch, 0) | (1 << i)
+    open_bits = full  # a cleared bit is one matched character of ``left``
+    for ch in right:
+        hit = open_bits & places.get(ch, 0)
+        open_bits = ((open_bits + hit) | (open_bits - hit)) & full
+    return len(left) - open_bits.bit_count()
 
 
 def indel_ratio(left: str, right: str) -> float:

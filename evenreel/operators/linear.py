@@ -7,6 +7,7 @@ small system. ``MAX_DIM`` keeps that system small.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,13 +20,15 @@ from evenreel.operators.vectors import dimension, gather, sum_columns
 from evenreel.session import cut, written
 
 MAX_DIM = 1024
-SLOTS = 32
+# partial sums per last folding task: few for small systems, more for wide ones
+SLOTS, WIDE_SLOTS, WIDE = 4, 64, 1 << 17
 BROADCAST_BYTES = 32 << 20
 
 
 def _fold(frame: DataFrame, columns: Sequence[str], partial, width: int) -> np.ndarray:
     """Sum ``partial(batch) -> float array`` over every batch of a table."""
     schema = "slot int, sums array<double>"
+    slots = SLOTS if width < WIDE else WIDE_SLOTS
 
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows = np.zeros(width), 0
@@ -34,7 +37,7 @@ def _fold(frame: DataFrame, columns: Sequence[str], partial, width: int) -> np.n
                 total += partial(batch)
                 rows += len(batch)
         if rows:
-            slot = abs(hash(total.tobytes())) % SLOTS
+            slot = zlib.crc32(total.tobytes()) % slots
             yield pd.DataFrame({"slot": [slot], "sums": [total]})
 
     def per_slot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,10 +52,10 @@ def _fold(frame: DataFrame, columns: Sequence[str], partial, width: int) -> np.n
     folded = (
         frame.select(*columns)
         .mapInPandas(per_task, schema)
-        .repartition(SLOTS, "slot")
+        .repartition(slots, "slot")
         .mapInPandas(per_slot, schema)
     )
-    rows = folded.select("sums").collect()  # SLOTS rows at most
+    rows = folded.select("sums").collect()  # one row per slot
     return sum((np.asarray(r[0]) for r in rows), np.zeros(width))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HASH_PREFIX = 3  # 16 ** 3 ranges: the width of one range shrinks as data grows
+HASH_PREFIX = 4  # 65,536 even ranges, and as many offsets at most
 
 
 def hash_key(*parts: Column | str | int) -> Column:
@@ -89,7 +89,7 @@ def value_counts(
     return _rows_before(cells.withColumn("_range", spread), group, [value])
 
 
-def score_ranges(value: Column, low: float, high: float, n: int = 256) -> Column:
+def score_ranges(value: Column, low: float, high: float, n: int = 1024) -> Column:
     """Range number of a bounded score, for ``spread``."""
     return F.greatest(
         F.lit(0), F.least(F.lit(n), F.floor((value - low) / (high - low) * n))

@@ -327,7 +327,7 @@ def profile_split(t):
 
 
 def _one_size(t, n: int = 10):
-    cases = protocol.history_cases(t.model_ratings(), (n,))
+    cases = written(protocol.history_cases(t.model_ratings(), (n,)), "cases")
     return cases.where("given").drop("given"), cases.where(~F.col("given")).drop("given")
 
 
@@ -1022,7 +1022,8 @@ _METRIC_COLUMNS = ("cold_share", "rmse", "mae", "rmse_cold", "rmse_warm", "spear
 def _cold_models(t):
     """Baselines, the borrowing tower, and the same tower ranked in strata."""
     options = {"item_bias": models.BORROWED, "borrowed": _lent(t)}
-    return [*_baselines(), _tower(t, **options), models.StratifiedRanker(_tower(t, **options))]
+    tower = _tower(t, **options)
+    return [*_baselines(), tower, models.StratifiedRanker(tower)]
 
 
 def _cold_per_user(t):

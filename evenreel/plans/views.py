@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evenreel.functions.numeric import half_even
 from evenreel.operators import catalogue as cat
 from evenreel.operators.interactions import DIARY, LIKE, RATING, WATCHED, WATCHLIST
+from evenreel.session import written
 
 HISTORY_SIZES = (5, 10, 20)
 
@@ -22,6 +23,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str, build) -> DataFrame:
+        """A table of the pipeline, written once and read by all later steps."""
+        if name not in self._stored:
+            self._stored[name] = written(build(), name)
+        return self._stored[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -51,8 +59,11 @@ class Tables:
             "seq",
         )
 
-    def model_ratings(self, flags: tuple[str, ...] | None = None) -> DataFrame:
+    def model_ratings(self) -> DataFrame:
         """userId, movieId, stars: one row per (member, film), repeats averaged."""
+        return self.stored("ratings", self._model_ratings)
+
+    def _model_ratings(self, flags: tuple[str, ...] | None = None) -> DataFrame:
         rows = self.ratings10()
         if flags is not None:
             rows = rows.where(F.col("flag").isin(*flags))
@@ -61,10 +72,10 @@ class Tables:
         )
 
     def crowd_a(self) -> DataFrame:
-        return self.model_ratings(("A", "R"))
+        return self.stored("crowd-a", lambda: self._model_ratings(("A", "R")))
 
     def crowd_b(self) -> DataFrame:
-        return self.model_ratings(("N",))
+        return self.stored("crowd-b", lambda: self._model_ratings(("N",)))
 
     # -- films -------------------------------------------------------------
     def films(self) -> DataFrame:
