@@ -1573,7 +1573,30 @@ def stack_weights(t):
     return stack.fit(rated).predict(films).select("row", "rating", *r6("predicted"))
 
 
-@query("recommend")
+_RECOMMEND = {
+    **_HOUSE,
+    "line_h": ("select regr_slope(rating, crowd_shrunk) as s, regr_intercept(rating, crowd_shrunk) as i from h", ("h",)),
+    "unseen": (
+        f"""select c.*, {band('vote_count')} as band,
+                   s * ((vote_count * vote_average + 325.0::double) / (vote_count + 50)) + i as score
+            from catalogue c, line_h where c.tmdb_id::varchar not in (select film_key from status where seen)""",
+        ("catalogue", "status", "line_h"),
+    ),
+}
+
+
+@query(
+    "recommend",
+    statement(
+        """select row_number() over (order by round(score, 9) desc, tmdb_id) as rank, title, year, vote_count, band, vote_average,
+                  original_language, tmdb_id, round(score, 3) as score
+           from (select *, row_number() over (order by late, round(score, 9) desc, tmdb_id) as place from (
+             select *, row_number() over (partition by band order by round(score, 9) desc, tmdb_id) > 2 as late from unseen))
+           where place <= 20""",
+        "unseen",
+        extra=_RECOMMEND,
+    ),
+)
 def recommend(t):
     """Fit the crowd-score line on the house ratings, list unseen films in strata."""
     seen = inter.film_status(t.interactions(), KEYS).where("seen").select(F.col("film_key").cast("long").alias("tmdb_id"))
