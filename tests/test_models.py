@@ -298,3 +298,24 @@ def test_stratified_ranker_keeps_group_order_and_prefix_shares(spark):
     tied = scored.withColumn("score", F.lit(1.0))
     first = ranking.interleave(tied, ["userId"]).orderBy(F.desc("rank_score")).limit(10).toPandas()
     assert sorted(first.movieId) != list(range(10))  # ties do not go to the lowest ids
+
+
+def test_item_vectors_place_like_films_together(spark):
+    rows = []
+    for i in range(60):
+        kind = "noir" if i % 2 else "western"
+        rows.append((i, [kind], [kind, f"{kind} night"], [f"Director {kind} {i % 4}"], ["US"], 1950 + i % 7, 90 + i % 5,
+                     i * 10, 6.0, "en", f"a {kind} story about {kind} people and {kind} towns", ""))
+    films = spark.createDataFrame(
+        rows, "tmdb_id long, genres array<string>, keywords array<string>, directors array<string>, "
+        "production_countries array<string>, year int, runtime int, vote_count long, vote_average double, "
+        "original_language string, overview string, tagline string")
+    table = features.item_vectors(films, n_components=6, keyword_components=2, synopsis_components=2, fit_rows=40)
+    got = {r["movieId"]: np.array(r["vec"]) for r in table.collect()}
+    assert len(got) == 60 and all(len(v) == 6 for v in got.values())  # unsampled films are projected too
+    unit = {k: v / np.linalg.norm(v) for k, v in got.items()}
+    same = np.mean([unit[a] @ unit[b] for a in range(0, 60, 2) for b in range(0, 60, 2) if a != b])
+    other = np.mean([unit[a] @ unit[b] for a in range(0, 60, 2) for b in range(1, 60, 2)])
+    assert same > other + 0.3
+    with pytest.raises(ValueError):
+        features.FilmMatrix(["genres", "nonsense"])
