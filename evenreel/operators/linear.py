@@ -213,6 +213,9 @@ def truncated_svd(
     ).first()
     k = max(1, min(k, int(stats["cols"])))
     width = min(k + oversample, int(stats["cols"]))
+    if not stats["energy"]:  # nothing but zeros: any direction will do
+        flat = F.array(*[F.lit(0.0)] * k)
+        return Decomposition(cells.select("col").distinct().withColumn("vec", flat), np.zeros(k), 0.0)
 
     def push(vectors: DataFrame, on: str, to: str, d: int, known_rows: int | None) -> DataFrame:
         side = vectors.withColumnRenamed(vectors.columns[0], on)

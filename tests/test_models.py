@@ -319,3 +319,12 @@ def test_item_vectors_place_like_films_together(spark):
     assert same > other + 0.3
     with pytest.raises(ValueError):
         features.FilmMatrix(["genres", "nonsense"])
+
+
+def test_svd_of_low_rank_and_empty_matrices(spark):
+    one = spark.range(40).select((F.col("id") % 8).alias("row"), (F.col("id") % 5).alias("col"), F.lit(1.0).alias("value"))
+    svd = linear.truncated_svd(one, 3, iterations=2)  # rank one: fewer vectors than asked
+    assert len(svd.singular_values) == 1 and abs(svd.captured - 1.0) < 1e-9
+    zero = linear.truncated_svd(one.withColumn("value", F.lit(0.0)), 3)
+    assert zero.captured == 0.0 and zero.columns.count() == 5
+    assert linear.truncated_svd(one.where("row < 0"), 3).columns.count() == 0
