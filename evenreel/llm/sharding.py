@@ -45,6 +45,17 @@ class Ranges:
         return np.concatenate([[0], np.cumsum(self.total)])
 
 
+FIELDS = tuple(Ranges.__dataclass_fields__)
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Disjunction as a balanced tree: a long chain is too deep for the analyser."""
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:])
+
+
 def group_key(text: Column) -> Column:
     """Order of the groups: the first 60 bits of the text's MD5 (null: empty)."""
     digits = F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, KEY_BITS // 4)
@@ -148,8 +159,7 @@ def _totals(groups: DataFrame, bits: int) -> Ranges:
 
 
 def _joined(parts: list[Ranges]) -> Ranges:
-    names = ("low", "high", "total", "largest", "groups")
-    columns = {x: np.concatenate([getattr(p, x) for p in parts]) for x in names}
+    columns = {x: np.concatenate([getattr(p, x) for p in parts]) for x in FIELDS}
     order = np.argsort(columns["low"], kind="stable")
     return Ranges(**{x: c[order] for x, c in columns.items()})
 
@@ -177,23 +187,20 @@ def partition_keys(groups: DataFrame, n_shards: int) -> tuple[list[int], list[in
     while True:
         most, spans = _positions(r, n)
         starts = r.starts()
-        open_ = np.zeros(len(r.total), dtype=bool)
+        near = np.zeros(len(r.total), dtype=bool)
         for low, high in spans:
             first = max(0, int(np.searchsorted(starts, low, side="left")) - 1)
-            open_[first : int(np.searchsorted(starts, high, side="right"))] = True
-        open_ &= r.groups > 1
-        if not open_.any():
+            near[first : int(np.searchsorted(starts, high, side="right"))] = True
+        if not (near & (r.groups > 1)).any():
             break
-        finer = max(1, (RANGES // int(open_.sum())).bit_length() - 1)
+        finer = max(1, (RANGES // int(near.sum())).bit_length() - 1)
         bits = min(KEY_BITS, bits + finer)
-        wanted = F.lit(False)
-        for run in np.split(np.flatnonzero(open_), np.flatnonzero(np.diff(np.flatnonzero(open_)) > 1) + 1):
-            wanted |= F.col("_key").between(int(r.low[run[0]]), int(r.high[run[-1]]))
-        shut = Ranges(*(getattr(r, x)[~open_] for x in ("low", "high", "total", "largest", "groups")))
-        inside = _totals(rest.where(wanted), bits)
-        # a run of open ranges may enclose single groups that are known already
-        known = np.isin(inside.low, shut.low)
-        r = _joined([shut, Ranges(*(getattr(inside, x)[~known] for x in ("low", "high", "total", "largest", "groups")))])
+        places = np.flatnonzero(near)
+        # no more stretches than spans
+        stretches = np.split(places, np.flatnonzero(np.diff(places) > 1) + 1)
+        wanted = _any([F.col("_key").between(int(r.low[x[0]]), int(r.high[x[-1]])) for x in stretches])
+        far = Ranges(*(getattr(r, x)[~near] for x in FIELDS))
+        r = _joined([far, _totals(rest.where(wanted), bits)])
     least = max(int(r.largest.max()), -(-int(r.total.sum()) // n))
     capacity = smallest_capacity(r.starts(), least, most, n)
     return alone, [int(r.high[c - 1]) if c else -1 for c in _cuts(r, capacity, n)]
