@@ -10,8 +10,10 @@ else in the corpus. Suffixes of the whole corpus need not be sorted for that:
 2. Runs with equal contexts repeat as a whole; counting 128-bit context hashes
    finds them. An anchor seen with one context only repeats nothing.
 3. What is left - an anchor with several contexts, some of them unique - is
-   where repeats begin and end. The distinct contexts of such an anchor meet in
-   a task, which sorts their suffixes, takes the Burrows-Wheeler transform and
+   where repeats begin and end. A window's anchor lies in one of nine bands of
+   offsets, and all windows of a band hold the same ``LENGTH`` - 40 bytes around
+   the anchor, the band's core. Contexts that share no core with another one
+   repeat nothing. The others of an anchor meet in a task, which sorts their suffixes, takes the Burrows-Wheeler transform and
    derives common prefixes by increasing value: intervals of suffixes are
    extended backwards, breadth first, and the search stops at ``LENGTH``. Ranks
    without a value by then share ``LENGTH`` bytes with a neighbour.
@@ -36,6 +38,8 @@ from evenreel.session import scratch_path, written
 LENGTH = 400
 GRAM = 32
 CROWDED = 2048
+#: Offsets of a band; the cores are shorter than a window by one less.
+BAND = 41
 #: Bytes whose anchors are found in one sweep; positions in a sweep take 20 bits.
 SWEEP = 1 << 20
 #: Bytes of contexts that are sorted together, at least.
@@ -110,16 +114,16 @@ def document_runs(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
     if held:
         parts.append(runs_of(held))
     if not parts:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     doc, first, last, anchor, place = (np.concatenate(c) for c in zip(*parts, strict=True))
     # a run cut between two pieces of a document is one
     joined = np.zeros(len(doc), dtype=bool)
     joined[1:] = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (first[1:] == last[:-1] + 1)
     begin = np.flatnonzero(~joined)
-    return doc[begin], first[begin], last[np.append(begin[1:], len(doc)) - 1], anchor[begin]
+    return doc[begin], first[begin], last[np.append(begin[1:], len(doc)) - 1], anchor[begin], place[begin]
 
 
-_RUNS = "uid long, first int, last int, anchor long, c1 long, c2 long"
+_RUNS = "uid long, first int, last int, place int, anchor long, c1 long, c2 long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], types: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -128,16 +132,41 @@ def _scan(batches: Iterator[pa.RecordBatch], types: pa.Schema) -> Iterator[pa.Re
             batch = whole.slice(at, 256)
             uids = batch.column(0).to_numpy()
             bodies = batch.column(1).to_pylist()
-            doc, first, last, anchor = document_runs(bodies)
+            doc, first, last, anchor, place = document_runs(bodies)
             if not len(doc):
                 continue
             digest = xxhash.xxh3_128_digest
             spans = zip(doc.tolist(), first.tolist(), (last + LENGTH).tolist(), strict=True)
             contexts = np.frombuffer(b"".join([digest(bodies[d][a:b]) for d, a, b in spans]), dtype=np.int64).reshape(-1, 2)
-            columns = [uids[doc], first.astype(np.int32), last.astype(np.int32), anchor.view(np.int64), contexts[:, 0], contexts[:, 1]]
+            narrow = [x.astype(np.int32) for x in (first, last, place)]
+            columns = [uids[doc], *narrow, anchor.view(np.int64), contexts[:, 0], contexts[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=types)
 
 
+_CORES = "anchor long, uid long, first int, last int, unique boolean, core long"
+
+
+def _core_hashes(batches: Iterator[pa.RecordBatch], types: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One row per context and band that its windows reach, with the hash of the core."""
+    digest = xxhash.xxh3_64_digest
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            first, last, place = (batch[c].to_numpy() for c in ("first", "last", "place"))
+            low, high = (place - last) // BAND, (place - first) // BAND
+            row = np.repeat(np.arange(len(first)), high - low + 1)
+            band = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[row]
+            begin = (place - first)[row] - band * BAND  # in the context; a core may begin before it
+            texts = batch["context"].to_pylist()
+            hashes = [
+                digest(b"%d " % b + texts[r][max(0, i) : i + LENGTH - BAND + 1])
+                for r, b, i in zip(row.tolist(), band.tolist(), begin.tolist(), strict=True)
+            ]
+            columns = [batch[c].take(pa.array(row)) for c in ("anchor", "uid", "first", "last", "unique")]
+            core = pa.array(np.frombuffer(b"".join(hashes), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*columns, core], schema=types)
+
+
 # -- contexts of one anchor ------------------------------------------------------
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Positions ordered by their first ``depth`` symbols at least (prefix doubling)."""
@@ -308,18 +337,26 @@ def repeated_spans(bodies: DataFrame) -> DataFrame:
     context = ["anchor", "c1", "c2"]
     # one row per distinct context; copies are counted before they are shuffled
     distinct = written(
-        runs.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "last")).alias("one")),
+        runs.groupBy(*context).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "first", "last", "place")).alias("one")
+        ),
         "contexts",
     )
     whole = runs.join(distinct.where(F.col("n") > 1).select(*context), context, "left_semi").select("uid", "first", "last")
     open_ = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("unique"))
-    open_ = open_.where((F.col("m") > 1) & (F.col("unique") > 0)).select("anchor", "m")
-    mixed = distinct.join(open_, "anchor").select(
-        "anchor", "m", F.col("one.uid").alias("uid"), F.col("one.first").alias("first"), F.col("one.last").alias("last"),
-        (F.col("n") == 1).alias("unique"),
-    )
-    cut = F.substring("body", F.col("first") + 1, F.col("last") - F.col("first") + LENGTH)
-    texts = mixed.join(bodies.select("uid", "body"), "uid").select("anchor", "m", "uid", "first", "unique", cut.alias("context"))
+    open_ = open_.where((F.col("m") > 1) & (F.col("unique") > 0)).select("anchor")
+    mixed = distinct.join(open_, "anchor").select("anchor", "one.*", (F.col("n") == 1).alias("unique"))
+    cut = F.substring("body", F.col("first") + 1, F.col("last") - F.col("first") + LENGTH).alias("context")
+    text = bodies.select("uid", "body")
+    core_types = arrow_types(_CORES)
+    cores = mixed.join(text, "uid").select("anchor", "uid", "first", "last", "place", "unique", cut)
+    cores = written(cores.mapInArrow(lambda b: _core_hashes(b, core_types), _CORES), "cores")
+    shared = cores.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.count_if("unique").alias("n"))
+    shared = shared.where((F.col("m") > 1) & (F.col("n") > 0)).select("core")
+    left = cores.join(shared, "core", "left_semi").select("anchor", "uid", "first", "last", "unique").distinct()
+    left = written(left, "open-contexts")
+    crowds = left.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    texts = left.join(crowds, "anchor").join(text, "uid").select("anchor", "m", "uid", "first", "unique", cut)
     texts = written(texts, "mixed-contexts")
     span_types = arrow_types(_SPANS)
     few = texts.where(F.col("m") <= CROWDED).select("anchor", "uid", "first", "unique", "context")
