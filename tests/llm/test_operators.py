@@ -339,7 +339,10 @@ def test_near_duplicates(docs, empty):
     assert Counter(tuple(r) for r in simhash.near_duplicate_ids(docs).collect()) == want
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(set(classes(ids, prints)))
+    # by row: an id that stands twice may represent two components
+    roots = classes(list(range(len(rows))), prints)
+    least = {root: min((i for i, r in zip(ids, roots, strict=True) if r == root and i is not None), default=None) for root in roots}
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(least.values())
     assert simhash.near_duplicate_ids(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
