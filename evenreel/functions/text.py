@@ -46,7 +46,7 @@ def normalize_title(title: Column) -> Column:
     folded = F.when(is_ascii, F.lower(text)).otherwise(
         _fold_accents(F.when(~is_ascii, text))
     )
-    no_punctuation = F.regexp_replace(folded, r"(?U)[^\w\s]", " ")
+    no_punctuation = F.regexp_replace(folded, r"(?U)[^\p{L}\p{N}_\s]", " ")
     return F.trim(F.regexp_replace(no_punctuation, r"(?U)\s+", " "))
 
 

@@ -75,13 +75,13 @@ def film_status(
     """Seen, rating, liked and pending per film.
 
     The rating row wins over the diary; of several diary values the last watched
-    one counts.
+    one counts, and a value without a date counts as watched after the dated ones.
     """
     keys = list(keys)
     kind = F.col("kind")
     rated = kind == RATING
     diary = (kind == DIARY) & F.col("value").isNotNull()
-    order = F.struct(F.col(diary_order), F.col(tie), F.col("value"))
+    order = F.struct(F.col(diary_order).isNull(), F.col(diary_order), F.col(tie), F.col("value"))
     flags = interactions.groupBy(*keys).agg(
         _any(kind.isin(*SEEN_KINDS)).alias("seen"),
         F.min_by(F.when(rated, F.col("value")), F.when(rated, F.struct(tie, "value"))).alias("_rating"),

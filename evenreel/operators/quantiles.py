@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenreel.operators.ordering import value_counts
+from evenreel.operators.ordering import score_ranges, value_counts
 
 
-def quantile_edges(reference: DataFrame, column: str, bins: int) -> list[float]:
-    """Distinct quantile edges of a column: at most ``bins + 1`` numbers.
+def exact_quantiles(frame: DataFrame, column: str, points: Sequence[float]) -> list[float | None]:
+    """Interpolated quantiles of a column, null for a column without values.
 
-    Exact percentiles keep one counter per distinct value; vote counts are small
-    integers, so that map stays small however many films there are.
+    Rows are counted per distinct value and the counts are accumulated per range
+    of values, so no task holds all distinct values; only the order statistics
+    next to the wanted positions reach the driver.
     """
-    points = [i / bins for i in range(bins + 1)]
-    edges = reference.agg(F.percentile(F.col(column).cast("double"), points)).first()[0]
-    return sorted(set(edges or []))
+    known = frame.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    n, low, high = known.agg(F.count("_v"), F.min("_v"), F.max("_v")).first()
+    if not n or low == high:
+        return [low] * len(points)
+    places = [p * (n - 1) for p in points]
+    wanted = sorted({f(x) for x in places for f in (math.floor, math.ceil)})
+    counts = value_counts(known, [], "_v", score_ranges(F.col("_v"), low, high))
+    inside = reduce(or_, [F.lit(i).between(F.col("_before"), F.col("_before") + F.col("_n") - 1) for i in wanted])
+    found = [(r["_before"], r["_before"] + r["_n"], r["_v"]) for r in counts.where(inside).collect()]
+    at = {i: next(v for first, end, v in found if first <= i < end) for i in wanted}
+    return [
+        at[math.floor(x)]
+        if at[math.floor(x)] == at[math.ceil(x)]
+        else (math.ceil(x) - x) * at[math.floor(x)] + (x - math.floor(x)) * at[math.ceil(x)]
+        for x in places
+    ]
+
+
+def quantile_edges(reference: DataFrame, column: str, bins: int) -> list[float]:
+    """Distinct quantile edges of a column: at most ``bins + 1`` numbers."""
+    edges = exact_quantiles(reference, column, [i / bins for i in range(bins + 1)])
+    return sorted({e for e in edges if e is not None})
 
 
 def quantile_buckets(reference: DataFrame, column: str, value: Column, bins: int) -> Column:

@@ -1030,7 +1030,8 @@ def _exact_sql(catalogue: str) -> str:
                select a.film_key, c.tmdb_id, abs(c.year - a.year) as delta, c.popularity, c.literal = a.query as lit
                from (select film_key, year, {norm("title")} as query, unnest({variants(norm("title"))}) as form from asked where year is not null) a
                join (select tmdb_id, year, popularity, {norm("title")} as literal, unnest({variants(norm("title"))}) as form
-                     from {catalogue} where {norm("title")} <> '') c
+                     from (select tmdb_id, year, popularity, title from {catalogue} union all
+                           select tmdb_id, year, popularity, original_title from {catalogue}) where {norm("title")} <> '') c
                  on c.form = a.form and abs(c.year - a.year) <= 1
                where exists (select 1 from (select unnest({variants("c.literal")}) as form) v where {marks.replace("query", "a.query")}))
              qualify row_number() over (partition by film_key order by lit desc, popularity desc, tmdb_id) = 1) b

@@ -21,12 +21,14 @@ def read_crowd_ratings(
 ) -> DataFrame:
     """(member, slug, rating 1-10) of one dump layout.
 
-    Names are casefolded and trimmed; slugs stay as they are, even empty-looking
+    Names lose their case (sharp s included) and outer white space; slugs stay as they are, even empty-looking
     ones. A rating off the scale fails the job.
     """
     raw = spark.read.csv(path, header=True, inferSchema=False, nullValue=NEVER, emptyValue="")
     frame = raw.select(
-        F.lower(F.trim(F.coalesce(F.col(member), F.lit("")))).alias("member"),
+        F.replace(
+            F.lower(F.regexp_replace(F.coalesce(F.col(member), F.lit("")), r"(?U)^\s+|\s+$", "")), F.lit("ß"), F.lit("ss")
+        ).alias("member"),
         F.coalesce(F.col(slug), F.lit("")).alias("slug"),
         F.col(rating).alias("rating"),
     )

@@ -21,7 +21,8 @@ def load_store(batches: DataFrame, sequence: str = "batch") -> DataFrame:
 
 def append_new(batch: DataFrame, path: str, stored: DataFrame | None) -> None:
     """Append records the store lacks; running a batch twice adds nothing."""
-    fresh = batch.dropDuplicates(["tmdb_id"])
+    rest = [F.col(c) for c in batch.columns if c != "tmdb_id"]
+    fresh = first_per_key(batch, ["tmdb_id"], rest)
     if stored is not None:
         fresh = pending_ids(fresh, stored)
     fresh.write.mode("append").option("compression", "zstd").parquet(path)

@@ -310,9 +310,9 @@ def test_item_vectors_place_like_films_together(spark):
         rows, "tmdb_id long, genres array<string>, keywords array<string>, directors array<string>, "
         "production_countries array<string>, year int, runtime int, vote_count long, vote_average double, "
         "original_language string, overview string, tagline string")
-    table = features.item_vectors(films, n_components=6, keyword_components=2, synopsis_components=2, fit_rows=40)
+    table = features.item_vectors(films, n_components=6, keyword_components=2, synopsis_components=2)
     got = {r["movieId"]: np.array(r["vec"]) for r in table.collect()}
-    assert len(got) == 60 and all(len(v) == 6 for v in got.values())  # unsampled films are projected too
+    assert len(got) == 60 and all(len(v) == 6 for v in got.values())
     unit = {k: v / np.linalg.norm(v) for k, v in got.items()}
     same = np.mean([unit[a] @ unit[b] for a in range(0, 60, 2) for b in range(0, 60, 2) if a != b])
     other = np.mean([unit[a] @ unit[b] for a in range(0, 60, 2) for b in range(1, 60, 2)])
