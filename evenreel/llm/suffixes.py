@@ -43,7 +43,7 @@ BAND = 41
 #: Bytes whose anchors are found in one sweep; positions in a sweep take 20 bits.
 SWEEP = 1 << 20
 #: Bytes of contexts that are sorted together, at least.
-SORTED = 1 << 20
+SORTED = 1 << 18
 
 
 # -- anchors -------------------------------------------------------------------
@@ -171,18 +171,24 @@ def _core_hashes(batches: Iterator[pa.RecordBatch], types: pa.Schema) -> Iterato
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Positions ordered by their first ``depth`` symbols at least (prefix doubling)."""
     n = len(symbols)
-    rank, covered = symbols.astype(np.int64), 1
+    # the first key holds as many symbols as fit into a long
+    width = max(1, int(symbols.max(initial=0) + 1).bit_length())
+    covered = 62 // width
+    padded = np.concatenate([symbols + 1, np.zeros(covered, dtype=np.int64)])
+    key = np.zeros(n, dtype=np.int64)
+    for i in range(covered):
+        key = (key << width) | padded[i : i + n]
     while True:
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - covered] = rank[covered:] + 1
-        key = rank * (int(rank.max(initial=0)) + 2) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        covered *= 2
-        if covered >= depth or (n and rank[order[-1]] == n - 1):
+        if covered >= depth or rank[order[-1]] == n - 1:
             return order
+        ahead = np.zeros(n, dtype=np.int64)
+        ahead[: max(0, n - covered)] = rank[covered:] + 1
+        key = rank * (n + 1) + ahead
+        covered *= 2
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
@@ -194,9 +200,9 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, limit: int) -> np.nd
     any other is dropped.
     """
     n = len(symbols)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    before = symbols[order - 1]  # the transform
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    before = symbols[order - 1].astype(np.int32)  # the transform
     back = rank[order - 1]  # rank of the suffix one symbol longer
     prefix = np.full(n + 1, -1, dtype=np.int32)
     prefix[0] = prefix[n] = 0
