@@ -49,13 +49,6 @@ def gather(d: int, prefix: str = "_s") -> Column:
     return F.array(*[F.col(f"{prefix}{i}") for i in range(d)])
 
 
-def sum_vectors(
-    frame: DataFrame, keys: Sequence[str], vector: str, d: int, *, weight: str | None = None, out: str = "vec"
-) -> DataFrame:
-    """Sum of (weighted) vectors per key."""
-    return frame.groupBy(*keys).agg(*sum_columns(vector, d, weight)).select(*keys, gather(d).alias(out))
-
-
 def as_double(column: str) -> Column:
     return F.col(column).cast("array<double>")
 

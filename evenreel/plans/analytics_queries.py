@@ -326,69 +326,95 @@ def profile_split(t):
     return protocol.history_cases(t.model_ratings(), HISTORY_SIZES)
 
 
+_TEST_SHARE = 0.4
+
+
+def _chosen(ratings: str) -> str:
+    """Test members: a share of those with enough ratings, in hash order."""
+    return f"""select userId from (select userId, row_number() over (order by md5(concat_ws(':', userId, '0'))) as r, count(*) over () as n
+             from (select userId from {ratings} group by 1 having count(*) >= 40)) where r <= greatest(1, round_even({_TEST_SHARE}::double * n, 0))"""
+
+
+def _baseline_ctes(train: str, cases: str, prefix: str) -> dict:
+    p = prefix
+    return {
+        f"{p}mu": (f"select avg(rating) as mu from {train}", (train,)),
+        f"{p}im": (
+            f"select movieId, (sum(rating) + 20 * any_value(mu)) / (count(*) + 20.0::double) as m from {train}, {p}mu group by 1",
+            (train, f"{p}mu"),
+        ),
+        f"{p}hist": (
+            f"""select n_given, userId, avg(rating) as um, avg(rating - coalesce(m, mu)) as bu, sum(rating - coalesce(m, mu)) / (count(*) + 10.0::double) as bu10
+                from {cases} left join {p}im using (movieId), {p}mu where given group by 1, 2""",
+            (cases, f"{p}im", f"{p}mu"),
+        ),
+        f"{p}base": (
+            f"""select c.*, coalesce(m, mu) as im, um, bu, bu10 from {cases} c left join {p}im using (movieId)
+                join {p}hist h on h.n_given = c.n_given and h.userId = c.userId, {p}mu where not given""",
+            (cases, f"{p}im", f"{p}hist", f"{p}mu"),
+        ),
+    }
+
+
+# fitted on the train members of the whole crowd, scored on the test members
+_GENERAL_SPLIT = {
+    "g_users": (_chosen("mr"), ("mr",)),
+    "g_train": ("select * from mr where userId not in (select userId from g_users)", ("mr", "g_users")),
+    "g_placed": (
+        f"""select *, row_number() over (partition by userId order by {_seeded()}, movieId) as pos, count(*) over (partition by userId) as total
+            from mr where userId in (select userId from g_users)""",
+        ("mr", "g_users"),
+    ),
+    "g_cases": (
+        f"select n_given, userId, movieId, rating, pos <= n_given as given from g_placed, {_SIZES} where total > n_given + 5",
+        ("g_placed",),
+    ),
+    **_baseline_ctes("g_train", "g_cases", "g_"),
+}
+
+
+def _general_users(t):
+    return t.stored("test-members", lambda: protocol.split_users(t.model_ratings(), share=_TEST_SHARE))
+
+
+def _general_train(t):
+    return t.stored("train-ratings", lambda: protocol.train_ratings(t.model_ratings(), _general_users(t)))
+
+
 def _one_size(t, n: int = 10):
-    cases = written(protocol.history_cases(t.model_ratings(), (n,)), "cases")
+    """Shown and held ratings of the test members, at one history size."""
+    held = t.model_ratings().join(_general_users(t), "userId", "left_semi")
+    cases = written(protocol.history_cases(held, (n,)), "cases")
     return cases.where("given").drop("given"), cases.where(~F.col("given")).drop("given")
 
 
 def _scored(t, model):
-    """One model on every user's held films, ten ratings shown."""
-    fitted = model.fit(t.model_ratings())
+    """One model on every test member's held films, ten ratings shown."""
+    fitted = model.fit(_general_train(t))
     given, held = _one_size(t)
     scored = fitted.score(given, held, ["n_given", "userId"])
     return scored.select("userId", "movieId", "rating", *r6("score"))
 
 
-_TEN = {
-    **_HISTORY,
-    **_ITEM_BIAS,
-    "shown": ("select * from placed where total > 15 and pos <= 10", ("placed",)),
-    "held": ("select * from placed where total > 15 and pos > 10", ("placed",)),
-    "im": ("select movieId, bias * 1 as bias, (sum_r + 20 * mu) / (n + 20.0::double) as mean from "
-           "(select movieId, sum(rating) as sum_r, count(*) as n from mr group by 1) join ib using (movieId, n), mu", ("mr", "ib", "mu")),
-}
+def _ten_sql(score: str) -> str:
+    return statement(
+        f"select userId, movieId, rating, round({score}, 6) as score from g_base where n_given = 10",
+        "g_base",
+        extra=_GENERAL_SPLIT,
+    )
 
 
-@query(
-    "model_user_mean",
-    statement(
-        """select h.userId, h.movieId, h.rating, round(g.m, 6) as score from held h
-           join (select userId, avg(rating) as m from shown group by 1) g using (userId)""",
-        "held",
-        "shown",
-        extra=_TEN,
-    ),
-)
+@query("model_user_mean", _ten_sql("um"))
 def model_user_mean(t):
     return _scored(t, models.UserMean())
 
 
-@query(
-    "model_item_mean",
-    statement(
-        "select h.userId, h.movieId, h.rating, round(i.mean, 6) as score from held h join im i using (movieId)",
-        "held",
-        "im",
-        extra=_TEN,
-    ),
-)
+@query("model_item_mean", _ten_sql("im"))
 def model_item_mean(t):
     return _scored(t, models.ItemMean())
 
 
-@query(
-    "model_bias",
-    statement(
-        """select h.userId, h.movieId, h.rating, round(i.mean + u.bu, 6) as score
-           from held h join im i using (movieId)
-           join (select s.userId, sum(s.rating - i.mean) / (count(*) + 10.0::double) as bu
-                 from shown s join im i using (movieId) group by 1) u using (userId)""",
-        "held",
-        "shown",
-        "im",
-        extra=_TEN,
-    ),
-)
+@query("model_bias", _ten_sql("im + bu10"))
 def model_bias(t):
     return _scored(t, models.BiasModel(user_prior=10.0))
 
@@ -417,7 +443,7 @@ def mf_residuals(t):
 
 @query("item_factors")
 def item_factors(t):
-    table = models.item_factors(t.model_ratings(), n_factors=16, iterations=3)
+    table = models.item_factors(t.model_ratings(), n_factors=64, iterations=4)
     return table.select(
         "movieId", "n_ratings", *r6("item_mean"), F.transform("factors", lambda x: F.round(x, 6)).alias("factors")
     )
@@ -425,7 +451,7 @@ def item_factors(t):
 
 @query("model_biased_mf")
 def model_biased_mf(t):
-    return _scored(t, models.BiasedMF(n_factors=16, iterations=3))
+    return _scored(t, models.BiasedMF(n_factors=64, iterations=4))
 
 
 # -- the content tower -----------------------------------------------------------------
@@ -474,11 +500,11 @@ def _tower_ctes(train: str, shown: str, held: str, candidate: str, history: str)
 
 _NO_LENDER = {"t_lent": ("select null::bigint as movieId, null::double as lent", ())}
 _SHOWN_TEN = {
-    **_HISTORY,
-    "shown10": ("select 10 as n_given, userId, movieId, rating from placed where total > 15 and pos <= 10", ("placed",)),
-    "held10": ("select 10 as n_given, userId, movieId, rating from placed where total > 15 and pos > 10", ("placed",)),
+    **_GENERAL_SPLIT,
+    "shown10": ("select n_given, userId, movieId, rating from g_cases where n_given = 10 and given", ("g_cases",)),
+    "held10": ("select n_given, userId, movieId, rating from g_cases where n_given = 10 and not given", ("g_cases",)),
 }
-_TOWER = {**_SHOWN_TEN, **_NO_LENDER, **_tower_ctes("mr", "shown10", "held10", "t_ib.bias", "t_ib.bias")}
+_TOWER = {**_SHOWN_TEN, **_NO_LENDER, **_tower_ctes("g_train", "shown10", "held10", "t_ib.bias", "t_ib.bias")}
 
 
 def _tower(t, **options):
@@ -489,44 +515,43 @@ def _tower(t, **options):
 @query(
     "unit_vectors",
     statement(
-        """select movieId, round(vec[1], 6) as first, round(vec[64], 6) as last, round(list_dot_product(vec, vec), 6) as length
-           from unit_vecs""",
+        f"""select movieId, dimension, round(vec[dimension + 1], 6) + 0.0::double as value, round(list_dot_product(vec, vec), 6) as length
+           from unit_vecs, (select unnest(range({_D}))::integer as dimension)""",
         "unit_vecs",
     ),
 )
 def unit_vectors_query(t):
-    unit = unit_vectors(t.vectors())
+    unit = written(unit_vectors(t.vectors()), "unit-vectors")
     return unit.select(
         "movieId",
-        F.round(F.col("vec")[0], 6).alias("first"),
-        F.round(F.col("vec")[63], 6).alias("last"),
         F.round(dot("vec", "vec", dimension(unit, "vec")), 6).alias("length"),
-    )
+        F.posexplode("vec").alias("dimension", "value"),
+    ).select("movieId", "dimension", *r6("value"), "length")
 
 
 @query(
     "content_profile",
     statement(
-        """select b.userId, b.known as known_films, round(b.bu, 6) as bu, round(coalesce(p.p[1], 0), 6) as p0,
-                  round(coalesce(p.p[32], 0), 6) as p31, round(coalesce(sqrt(list_dot_product(p.p, p.p)), 0), 6) as norm
-           from t_bu b left join t_profile p on p.userId = b.userId and p.n_given = b.n_given""",
+        f"""select b.userId, b.known as known_films, round(b.bu, 6) as bu, dimension, round(coalesce(p.p[dimension + 1], 0), 6) + 0.0::double as value,
+                  round(coalesce(sqrt(list_dot_product(p.p, p.p)), 0), 6) as norm
+           from t_bu b left join t_profile p on p.userId = b.userId and p.n_given = b.n_given,
+                (select unnest(range({_D}))::integer as dimension)""",
         "t_bu",
         "t_profile",
         extra=_TOWER,
     ),
 )
 def content_profile(t):
-    tower = _tower(t).fit(t.model_ratings())
+    tower = _tower(t).fit(_general_train(t))
     given, _ = _one_size(t)
     profiles = tower.profiles(given, ["n_given", "userId"])
     return profiles.select(
         "userId",
         "known_films",
         *r6("bu"),
-        F.round(F.col("profile")[0], 6).alias("p0"),
-        F.round(F.col("profile")[31], 6).alias("p31"),
         F.round(F.sqrt(dot("profile", "profile", tower.d)), 6).alias("norm"),
-    )
+        F.posexplode("profile").alias("dimension", "value"),
+    ).select("userId", "known_films", "bu", "dimension", *r6("value"), "norm")
 
 
 @query(
@@ -571,8 +596,10 @@ def _warm_a(t):
     return ratings.join(cold, "movieId", "left_anti")
 
 
-def _lent(t):
-    return crowd.item_bias(t.crowd_b()).select("movieId", F.col("bias").alias("lent"))
+def _lent(t, test_users=None):
+    """The second crowd's biases. Both crowds hold the same members: test members lend nothing."""
+    lender = t.crowd_b() if test_users is None else protocol.train_ratings(t.crowd_b(), test_users)
+    return crowd.item_bias(lender).select("movieId", F.col("bias").alias("lent"))
 
 
 def _biases(t, strategy, **options):
@@ -666,12 +693,10 @@ def borrow_calibration(t):
     ),
 )
 def knows_crowd(t):
-    rated = crowd.item_bias(_warm_a(t)).select("movieId", F.lit(True).alias("known"))
-    return (
-        t.raw("part")
-        .select(F.col("p_partkey").alias("movieId"))
-        .join(rated, "movieId", "left")
-        .select("movieId", F.coalesce("known", F.lit(False)).alias("known"))
+    tower = _tower(t).fit(_warm_a(t))
+    wanted = t.raw("part").select(F.col("p_partkey").alias("movieId"))
+    return wanted.join(tower.items, "movieId", "left").select(
+        "movieId", F.coalesce("crowd_knows", F.lit(False)).alias("known")
     )
 
 
@@ -699,7 +724,7 @@ def taste_weights(t):
     ),
 )
 def bias_sweep(t):
-    tower = _tower(t, bias_weight=0.0).fit(t.model_ratings())
+    tower = _tower(t, bias_weight=0.0).fit(_general_train(t))
     given, held = _one_size(t)
     scored = tower.score(given, held, ["n_given", "userId"]).withColumnRenamed("score", "without_bias")
     base = scored.join(tower.items.select("movieId", "candidate_bias"), "movieId", "left").na.fill(
@@ -838,27 +863,13 @@ def average_rank_query(t):
 
 # -- protocols ---------------------------------------------------------------------------
 
-_TEST_SHARE = 0.4
 _SPLIT = {
-    "test_users": (
-        """select userId from (select userId, row_number() over (order by md5(concat_ws(':', userId, '0'))) as r, count(*) over () as n
-             from (select userId from mr_a group by 1 having count(*) >= 40)) where r <= greatest(1, round_even(0.4::double * n, 0))""",
-        ("mr_a",),
-    ),
+    "test_users": (_chosen("mr_a"), ("mr_a",)),
     "train": ("select * from mr_a where userId not in (select userId from test_users)", ("mr_a", "test_users")),
     "cold_train": (
         "select * from train where movieId not in (select movieId from cold)",
         ("train", "cold"),
     ),
-    "g_placed": (
-        f"""select *, row_number() over (partition by userId order by {_seeded()}, movieId) as pos, count(*) over (partition by userId) as total
-            from mr_a where userId in (select userId from test_users)""",
-        ("mr_a", "test_users"),
-    ),
-    "g_cases": (
-        f"select n_given, userId, movieId, rating, pos <= n_given as given from g_placed, {_SIZES} where total > n_given + 5",
-        ("g_placed",),
-    ),
     "c_placed": (
         f"""select *, row_number() over (partition by userId, cold order by {_seeded()}, movieId) as pos,
                    count(*) filter (where not cold) over (partition by userId) as warm, count(*) filter (where cold) over (partition by userId) as colds
@@ -882,16 +893,16 @@ def _test_users(t):
 @query(
     "split_users",
     statement(
-        """select 'test' as part, count(*) as users, sum(userId)::bigint as ids from test_users
-           union all select 'train', count(distinct userId), sum(distinct userId)::bigint from train""",
-        "test_users",
-        "train",
-        extra=_PROTOCOL,
+        """select 'test' as part, count(*) as users, sum(userId)::bigint as ids from g_users
+           union all select 'train', count(distinct userId), sum(distinct userId)::bigint from g_train""",
+        "g_users",
+        "g_train",
+        extra=_GENERAL_SPLIT,
     ),
 )
 def split_users(t):
-    test = _test_users(t)
-    train = protocol.train_ratings(t.crowd_a(), test).select("userId").distinct()
+    test = _general_users(t)
+    train = _general_train(t).select("userId").distinct()
     count = lambda frame, part: frame.agg(
         F.lit(part).alias("part"), F.count(F.lit(1)).alias("users"), F.sum("userId").alias("ids")
     )
@@ -903,27 +914,6 @@ def cold_items(t):
     return protocol.cold_items(t.crowd_a())
 
 
-def _baseline_ctes(train: str, cases: str, prefix: str) -> dict:
-    p = prefix
-    return {
-        f"{p}mu": (f"select avg(rating) as mu from {train}", (train,)),
-        f"{p}im": (
-            f"select movieId, (sum(rating) + 20 * any_value(mu)) / (count(*) + 20.0::double) as m from {train}, {p}mu group by 1",
-            (train, f"{p}mu"),
-        ),
-        f"{p}hist": (
-            f"""select n_given, userId, avg(rating) as um, avg(rating - coalesce(m, mu)) as bu, sum(rating - coalesce(m, mu)) / (count(*) + 10.0::double) as bu10
-                from {cases} left join {p}im using (movieId), {p}mu where given group by 1, 2""",
-            (cases, f"{p}im", f"{p}mu"),
-        ),
-        f"{p}base": (
-            f"""select c.*, coalesce(m, mu) as im, um, bu, bu10 from {cases} c left join {p}im using (movieId)
-                join {p}hist h on h.n_given = c.n_given and h.userId = c.userId, {p}mu where not given""",
-            (cases, f"{p}im", f"{p}hist", f"{p}mu"),
-        ),
-    }
-
-
 def _clip(x: str) -> str:
     return f"greatest(0.5::double, least(5.0::double, {x}))"
 
@@ -937,8 +927,7 @@ def _four(base: str, columns: str) -> str:
 
 
 _GENERAL = {
-    **_PROTOCOL,
-    **_baseline_ctes("train", "g_cases", "g_"),
+    **_GENERAL_SPLIT,
     "g_pred": (_four("g_base", "n_given, userId, movieId, rating"), ("g_base",)),
     "g_metrics": (
         """select model, n_given, userId, count(*) as n, sqrt(avg(power(rating - predicted, 2))) as rmse, avg(abs(rating - predicted)) as mae
@@ -952,6 +941,10 @@ def _baselines():
     return [models.UserMean(), models.ItemMean(), models.BiasModel(), models.BiasModel(user_prior=10.0)]
 
 
+def _generalised(t):
+    return protocol.evaluate_generalisation(_baselines(), t.model_ratings(), _general_users(t), HISTORY_SIZES)
+
+
 @query(
     "eval_generalise",
     statement(
@@ -961,7 +954,7 @@ def _baselines():
     ),
 )
 def eval_generalise(t):
-    per_user = protocol.evaluate_generalisation(_baselines(), t.crowd_a(), _test_users(t), HISTORY_SIZES)
+    per_user = _generalised(t)
     return per_user.select("model", "n_given", "userId", "n", *r6("rmse", "mae"))
 
 
@@ -986,7 +979,12 @@ def _with_line(ctes: dict) -> dict:
 
 _COLD_EVAL = {
     **_PROTOCOL,
-    "t_lent": ("select movieId, lent from ib_b", ("ib_b",)),
+    "mr_lent": ("select * from mr_b where userId not in (select userId from test_users)", ("mr_b", "test_users")),
+    "mu_lent": ("select avg(rating) as mu from mr_lent", ("mr_lent",)),
+    "t_lent": (
+        "select movieId, (sum(rating) - count(*) * any_value(mu)) / (count(*) + 20.0::double) as lent from mr_lent, mu_lent group by 1",
+        ("mr_lent", "mu_lent"),
+    ),
     **_with_line(_BORROWED_TOWER),
     **_baseline_ctes("cold_train", "c_cases", "c_"),
     "c_pred": (
@@ -1021,7 +1019,7 @@ _METRIC_COLUMNS = ("cold_share", "rmse", "mae", "rmse_cold", "rmse_warm", "spear
 
 def _cold_models(t):
     """Baselines, the borrowing tower, and the same tower ranked in strata."""
-    options = {"item_bias": models.BORROWED, "borrowed": _lent(t)}
+    options = {"item_bias": models.BORROWED, "borrowed": _lent(t, _test_users(t))}
     tower = _tower(t, **options)
     return [*_baselines(), tower, models.StratifiedRanker(tower)]
 
@@ -1060,7 +1058,7 @@ def eval_cold(t):
 def stratified_rank(t):
     ratings = t.crowd_a()
     cold, test = protocol.cold_items(ratings), _test_users(t)
-    tower = _tower(t, item_bias=models.BORROWED, borrowed=_lent(t))
+    tower = _tower(t, item_bias=models.BORROWED, borrowed=_lent(t, test))
     tower.fit(written(protocol.train_ratings(ratings, test, cold), "train"))
     cases = written(
         protocol.cold_cases(ratings.join(test, "userId", "left_semi"), cold, HISTORY_SIZES), "cases"
@@ -1129,7 +1127,7 @@ def user_metrics(t):
     ),
 )
 def summarise(t):
-    per_user = protocol.evaluate_generalisation(_baselines(), t.crowd_a(), _test_users(t), HISTORY_SIZES)
+    per_user = _generalised(t)
     return protocol.summarise(per_user).select("model", "n_given", "users", *r6("rmse", "rmse_sd"))
 
 
@@ -1143,7 +1141,7 @@ def summarise(t):
     ),
 )
 def learning_curve_pivot(t):
-    per_user = protocol.evaluate_generalisation(_baselines(), t.crowd_a(), _test_users(t), HISTORY_SIZES)
+    per_user = _generalised(t)
     curve = protocol.learning_curve(protocol.summarise(per_user), sizes=HISTORY_SIZES)
     return curve.select("model", *r6("n_5", "n_10", "n_20"))
 
@@ -1316,6 +1314,7 @@ def archive_vectors(t):
 
 # -- personal models --------------------------------------------------------------------------
 
+_REPEATS = 3
 _HOUSE = {
     "h": (
         """select tmdb_id as row, rating, (vote_count * vote_average + 325.0::double) / (vote_count + 50) as crowd_shrunk,
@@ -1323,26 +1322,29 @@ _HOUSE = {
         ("house",),
     ),
     "placed_h": (
-        "select *, (row_number() over (order by md5(concat_ws(':', row, '0')), row) - 1) % 5 as fold from h",
+        f"""select *, (row_number() over (partition by repeat order by md5(concat_ws(':', row, repeat)), row) - 1) % 5 as fold
+            from h, (select unnest(range({_REPEATS})) as repeat)""",
         ("h",),
     ),
     "floor_pred": (
-        """select 'global_mean' as model, fold::integer as fold, row, rating as actual, log_votes,
-                  (sum(rating) over () - sum(rating) over (partition by fold)) / (count(*) over () - count(*) over (partition by fold)) as predicted
+        """select 'global_mean' as model, repeat, fold::integer as fold, row, rating as actual, log_votes,
+                  (sum(rating) over (partition by repeat) - sum(rating) over (partition by repeat, fold))
+                  / (count(*) over (partition by repeat) - count(*) over (partition by repeat, fold)) as predicted
            from placed_h""",
         ("placed_h",),
     ),
     "crowd_lines": (
-        """select f.fold, regr_slope(rating, crowd_shrunk) as s, regr_intercept(rating, crowd_shrunk) as i
-           from placed_h h join (select distinct fold from placed_h) f on f.fold <> h.fold group by 1""",
+        """select f.repeat, f.fold, regr_slope(rating, crowd_shrunk) as s, regr_intercept(rating, crowd_shrunk) as i
+           from placed_h h join (select distinct repeat, fold from placed_h) f on f.repeat = h.repeat and f.fold <> h.fold group by 1, 2""",
         ("placed_h",),
     ),
     "cv": (
-        """select model, row, actual, round(predicted, 9) as predicted, log_votes from floor_pred
-           union all select 'crowd_score', row, rating, round(s * crowd_shrunk + i, 9), log_votes from placed_h join crowd_lines using (fold)""",
+        """select model, repeat, row, actual, round(predicted, 9) as predicted, log_votes from floor_pred
+           union all select 'crowd_score', repeat, row, rating, round(s * crowd_shrunk + i, 9), log_votes
+           from placed_h join crowd_lines using (repeat, fold)""",
         ("floor_pred", "placed_h", "crowd_lines"),
     ),
-    "cv_rho": (spearman("cv", "model", "actual", "predicted", "spearman"), ("cv",)),
+    "cv_rho": (spearman("cv", "model, repeat", "actual", "predicted", "spearman"), ("cv",)),
     "cv_bands": (
         f"select *, {band_no('(exp(log_votes) - 1)')} as band_no, {band('(exp(log_votes) - 1)')} as band from cv",
         ("cv",),
@@ -1380,7 +1382,7 @@ def model_crowd_score(t):
     return personal.CrowdScore().fit(rated).predict(rated).select("row", *r6("rating", "predicted"))
 
 
-@query("kfold_assignment", statement("select row, fold::integer as fold from placed_h", "placed_h", extra=_HOUSE))
+@query("kfold_assignment", statement("select row, fold::integer as fold from placed_h where repeat = 0", "placed_h", extra=_HOUSE))
 def kfold_assignment(t):
     return personal.folds(_house(t).select("row"), 5)
 
@@ -1388,7 +1390,7 @@ def kfold_assignment(t):
 @query(
     "cv_global_mean",
     statement(
-        "select model, fold, row, round(actual, 6) as actual, round(predicted, 6) as predicted from floor_pred",
+        "select model, fold, row, round(actual, 6) as actual, round(predicted, 6) as predicted from floor_pred where repeat = 0",
         "floor_pred",
         extra=_HOUSE,
     ),
@@ -1398,15 +1400,16 @@ def cv_global_mean(t):
 
 
 def _cv(t):
-    return crossval.cross_validate([personal.GlobalMean(), personal.CrowdScore()], _house(t), k=5)
+    return crossval.cross_validate([personal.GlobalMean(), personal.CrowdScore()], _house(t), k=5, repeats=_REPEATS)
 
 
 @query(
     "cv_summary",
     statement(
-        """select model, n, round(rmse, 6) as rmse, 0.0::double as rmse_sd, round(mae, 6) as mae, round(spearman, 6) as spearman
-           from (select model, count(*) as n, sqrt(avg(power(actual - predicted, 2))) as rmse, avg(abs(actual - predicted)) as mae from cv group by 1)
-           join cv_rho using (model)""",
+        """select model, max(n) as n, round(avg(rmse), 6) as rmse, round(stddev_samp(rmse), 6) as rmse_sd, round(avg(mae), 6) as mae,
+                  round(avg(spearman), 6) as spearman
+           from (select model, repeat, count(*) as n, sqrt(avg(power(actual - predicted, 2))) as rmse, avg(abs(actual - predicted)) as mae
+                 from cv group by 1, 2) join cv_rho using (model, repeat) group by 1""",
         "cv",
         "cv_rho",
         extra=_HOUSE,
@@ -1449,7 +1452,7 @@ def tail_summary(t):
     "largest_misses",
     statement(
         """select p.row, f.title, f.year, f.vote_count, round(p.actual, 6) as actual, round(p.predicted, 6) as predicted, round(abs(actual - predicted), 6) as abs_error
-           from floor_pred p join films f on f.tmdb_id = p.row order by round(abs(actual - predicted), 9) desc, row limit 25""",
+           from floor_pred p join films f on f.tmdb_id = p.row where p.repeat = 0 order by round(abs(actual - predicted), 9) desc, row limit 25""",
         "floor_pred",
         "films",
         extra=_HOUSE,
@@ -1468,17 +1471,17 @@ _KNN = {
     ),
     "near": (
         """select a.row, a.rating as actual, b.rating, round(list_dot_product(a.vec, b.vec), 12) as sim, b.row as other
-           from kn a join kn b on a.fold = 0 and b.fold <> 0
+           from kn a join kn b on a.fold <> b.fold
            qualify row_number() over (partition by a.row order by round(list_dot_product(a.vec, b.vec), 12) desc, b.row) <= 25""",
         ("kn",),
     ),
 }
 
 
-def _library(t):
-    """Labelled vectors: three folds rated, the fourth to predict."""
-    placed = personal.folds(t.labelled_vectors(), 4)
-    return placed.where("fold <> 0").drop("fold"), placed.where("fold = 0").drop("fold")
+def _out_of_fold(t, model):
+    """Every labelled film predicted once, by a model fitted on the other three folds."""
+    held = crossval.cross_validate([model], t.labelled_vectors(), k=4)
+    return held.select("row", F.col("actual").alias("rating"), *r6("predicted"))
 
 
 @query(
@@ -1491,21 +1494,17 @@ def _library(t):
     ),
 )
 def model_knn(t):
-    rated, films = _library(t)
-    return personal.ContentKNN().fit(rated).predict(films).select("row", "rating", *r6("predicted"))
+    return _out_of_fold(t, personal.ContentKNN())
 
 
 @query("model_ridge")
 def model_ridge(t):
-    rated, films = _library(t)
-    return personal.ContentRidge().fit(rated).predict(films).select("row", "rating", *r6("predicted"))
+    return _out_of_fold(t, personal.ContentRidge())
 
 
 @query("model_gbt")
 def model_gbt(t):
-    rated, films = _library(t)
-    model = personal.GradientBoosted(trees=10)
-    return model.fit(rated).predict(films).select("row", "rating", *r6("predicted"))
+    return _out_of_fold(t, personal.GradientBoosted(trees=10))
 
 
 def _factor_table(t):
@@ -1533,8 +1532,7 @@ def collab_coverage(t):
 
 @query("model_collab")
 def model_collab(t):
-    rated, films = _library(t)
-    return personal.CollaborativeFold(_factor_table(t)).fit(rated).predict(films).select("row", "rating", *r6("predicted"))
+    return _out_of_fold(t, personal.CollaborativeFold(_factor_table(t)))
 
 
 @query(
@@ -1550,10 +1548,10 @@ def model_collab(t):
 )
 def blend_weight(t):
     """Two legs - user mean and item mean - over every held case of the protocol."""
-    ratings, test = t.crowd_a(), _test_users(t)
-    cases = protocol.history_cases(ratings.join(test, "userId", "left_semi"), HISTORY_SIZES)
+    members = t.model_ratings().join(_general_users(t), "userId", "left_semi")
+    cases = written(protocol.history_cases(members, HISTORY_SIZES), "cases")
     given, held = cases.where("given").drop("given"), cases.where(~F.col("given")).drop("given")
-    train, by = protocol.train_ratings(ratings, test), ["n_given", "userId"]
+    train, by = _general_train(t), ["n_given", "userId"]
     first = models.UserMean().fit(train).score(given, held, by).withColumnRenamed("score", "p0")
     both = models.ItemMean().fit(train).score(given, first, by).withColumnRenamed("score", "p1")
     return personal.blend_weight(both).select("n", *r6("weight"))
@@ -1561,16 +1559,16 @@ def blend_weight(t):
 
 @query("model_hybrid")
 def model_hybrid(t):
-    rated, films = _library(t)
-    blend = personal.SupportGatedBlend(personal.ContentRidge(), personal.CollaborativeFold(_factor_table(t)))
-    return blend.fit(rated).predict(films).select("row", "rating", *r6("predicted"))
+    return _out_of_fold(
+        t, personal.SupportGatedBlend(personal.ContentRidge(), personal.CollaborativeFold(_factor_table(t)))
+    )
 
 
 @query("stack_weights")
 def stack_weights(t):
-    rated, films = _library(t)
-    stack = personal.StackedEnsemble([personal.GlobalMean(), personal.ContentRidge(), personal.ContentKNN()])
-    return stack.fit(rated).predict(films).select("row", "rating", *r6("predicted"))
+    return _out_of_fold(
+        t, personal.StackedEnsemble([personal.GlobalMean(), personal.ContentRidge(), personal.ContentKNN()])
+    )
 
 
 _RECOMMEND = {

@@ -88,16 +88,16 @@ def list_blocks(t):
     year = (F.col("p_size") + 1950).cast("string")
     text = F.concat(
         magic,
-        F.lit("\r\nDate,Name,Tags,URL,Description\r\n2024-01-01,"),
-        F.col("p_type"),
-        F.lit(","),
+        F.lit("\r\nDate,Tags,Name,URL,Description\r\n2024-01-01,"),
         F.col("p_brand"),
-        F.lit(",,\r\n\r\nPosition,Name,Year,URL,Description\r\n1,\""),
+        F.lit(","),
+        F.col("p_type"),
+        F.lit(",,\"so far:\r\n\r\n\"\"best\"\" first\"\r\n\r\nPosition,Name,Year,URL,Description\r\n1,\""),
         F.concat("p_name", F.lit(", "), "p_brand"),
         F.lit('",'),
         year,
         F.concat(F.lit(",https://films.example/"), F.col("p_partkey").cast("string")),
-        F.lit(",\r\n2,"),
+        F.lit(",\"seen twice,\r\nonce with \"\"friends\"\"\"\r\n2,"),
         F.col("p_name"),
         F.lit(","),
         year,
@@ -223,6 +223,16 @@ def ragged_scan(t):
     return dumps.scan_counts(_ragged_table(t))
 
 
+@query(
+    "catalogue_scan",
+    """select 'intact' as part, count(*) as n from part where not (p_type = 'PROMO' and p_size > 40) and p_type <> 'SMALL'
+       union all select 'skipped', count(*) from part where (p_type = 'PROMO' and p_size > 40) or p_type = 'SMALL'""",
+)
+def catalogue_scan(t):
+    """What the dump catalogue takes and leaves out: rows cut short, and rows without an id or a title."""
+    return dumps.scan_counts(_ragged_table(t), dumps.names_a_film())
+
+
 @query(
     "dump_catalogue",
     """select p_partkey as tmdb_id, 'tt' || p_partkey as imdb_id, p_name || ', ' || p_brand as title,
@@ -1088,12 +1098,12 @@ def overrides_latest(t):
 
 @query(
     "overrides_fresh",
-    """select trim(c_custkey::varchar) as film_key, c_name as note from customer
-       where c_custkey not in (select o_custkey from orders)""",
+    """select (c_custkey * 2)::varchar as film_key, c_name as note from customer
+       where c_custkey * 2 not in (select o_custkey from orders)""",
 )
 def overrides_fresh(t):
     reviewed = t.raw("customer").select(
-        F.col("c_custkey").cast("string").alias("film_key"), F.col("c_name").alias("note")
+        (F.col("c_custkey") * 2).cast("string").alias("film_key"), F.col("c_name").alias("note")
     )
     recorded = t.overrides().select(F.trim("film_key").alias("film_key"))
     return resolution.fresh_overrides(reviewed, recorded)

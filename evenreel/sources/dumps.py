@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenreel.functions.numeric import ten_point
@@ -61,9 +61,12 @@ def intact(ragged: DataFrame) -> DataFrame:
     return ragged.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
-def scan_counts(ragged: DataFrame) -> DataFrame:
-    """Rows read and rows skipped: (part, n)."""
-    part = F.when(F.col(CORRUPT).isNotNull(), "skipped").otherwise("intact")
+def scan_counts(ragged: DataFrame, usable: Column | None = None) -> DataFrame:
+    """Rows read and rows skipped: (part, n); rows that aren't ``usable`` are skipped too."""
+    skipped = F.col(CORRUPT).isNotNull()
+    if usable is not None:
+        skipped = skipped | ~F.coalesce(usable, F.lit(False))
+    part = F.when(skipped, "skipped").otherwise("intact")
     # counts the first field: a scan may not read the corrupt column alone
     return ragged.groupBy(part.alias("part")).agg(F.count(ragged.columns[0]).alias("n"))
 
@@ -83,6 +86,11 @@ def dump_films(
     return first_per_key(frame, ["slug"], [F.col("_line")]).drop("_line")
 
 
+def names_a_film() -> Column:
+    """Whether a row of a dump's film table has a readable id and a title."""
+    return finite_number(F.col("tmdb_id")).cast("long").isNotNull() & (F.trim("movie_title") != "")
+
+
 def dump_catalogue(table: DataFrame, line: str | None = None) -> DataFrame:
     """A dump's film table in the catalogue schema, one row per id.
 
@@ -91,7 +99,7 @@ def dump_catalogue(table: DataFrame, line: str | None = None) -> DataFrame:
     """
     blank = lambda name: F.when(F.trim(F.col(name)) != "", F.trim(F.col(name)))
     order = F.col(line) if line else F.monotonically_increasing_id()
-    frame = table.select(
+    frame = table.where(names_a_film()).select(
         finite_number(F.col("tmdb_id")).cast("long").alias("tmdb_id"),
         blank("imdb_id").alias("imdb_id"),
         F.trim("movie_title").alias("title"),
@@ -106,7 +114,7 @@ def dump_catalogue(table: DataFrame, line: str | None = None) -> DataFrame:
         finite_number(F.col("vote_count")).cast("long").alias("vote_count"),
         F.lit("movie").alias("media_type"),
         order.alias("_line"),
-    ).where(F.col("tmdb_id").isNotNull() & (F.col("title") != ""))
+    )
     return first_per_key(frame, ["tmdb_id"], [F.col("_line")]).drop("_line")
 
 

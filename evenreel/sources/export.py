@@ -30,6 +30,11 @@ FLAT_FILES = (
 LIST_FOLDERS = (("lists", False), ("deleted/lists", True))
 DIARY_FILES = (("diary.csv", False), ("deleted/diary.csv", True), ("orphaned/diary.csv", True))
 
+#: Stands for a line break inside quotes while a file is cut into lines.
+HIDDEN = "\u0002"
+#: Columns of a list file that are looked at.
+LIST_WIDTH = 16
+
 INTERACTIONS = T.StructType(
     [
         T.StructField("film_key", T.StringType()),
@@ -138,45 +143,63 @@ def diary_rows(rows: DataFrame, source: str, *, deleted: bool) -> DataFrame:
     )
 
 
+def _cells(line: Column) -> Column:
+    """Fields of one CSV record, hidden line breaks shown again; ``LIST_WIDTH`` at most."""
+    names = [f"c{i}" for i in range(LIST_WIDTH)]
+    record = F.from_csv(line, F.lit(", ".join(f"{n} string" for n in names)), {"escape": '"'})
+    return F.transform(F.array(*[record[n] for n in names]), lambda c: F.replace(c, F.lit(HIDDEN), F.lit("\n")))
+
+
+def _named(header: Column, cells: Column, name: str) -> Column:
+    """The field under a header name; null where the header lacks it."""
+    return F.get(cells, F.array_position(header, name).cast("int") - 1)
+
+
 def list_blocks(files: DataFrame) -> DataFrame:
     """Entries of list files, given as rows (source, value) of whole texts.
 
     A list file has three blocks: a magic line, a header and one row about the
     list, a blank line, and a CSV of films. Without the magic line, or with the
-    blank line too early, the file is no list and yields nothing.
+    blank line too early, the file is no list and yields nothing. Line breaks
+    inside quotes belong to their field; columns go by their header names.
     """
     text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    parts = files.select("source", F.split(text, r"\n[,\s]*\n", 2).alias("parts"))
+    # every second stretch between quotation marks lies inside quotes
+    stretches = F.transform(
+        F.split(text, '"'),
+        lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit("\n"), F.lit(HIDDEN))).otherwise(s),
+    )
+    parts = files.select("source", F.split(F.array_join(stretches, '"'), r"\n[,\s]*\n", 2).alias("parts"))
     about = F.split(F.element_at("parts", 1), "\n")
     films = F.filter(
         F.split(F.coalesce(F.try_element_at("parts", F.lit(2)), F.lit("")), "\n"),
         lambda line: F.regexp_replace(line, r"[,\s]", "") != "",
     )
+    header = lambda line: F.transform(_cells(line), F.trim)
     lists = (
         parts.where(F.size("parts") == 2)
         .select("source", about.alias("about"), films.alias("films"))
-        .where((F.size("about") >= 3) & F.element_at("about", 1).rlike(LIST_MAGIC))
-    )
-    about_cells = F.from_csv(
-        F.element_at("about", 3), F.lit("Date string, Name string, Tags string, URL string, Description string")
-    )
-    film_cells = F.from_csv(
-        F.col("line"), F.lit("Position string, Name string, Year string, URL string, Description string")
-    )
-    return (
-        lists.select("source", about_cells.alias("about"), F.posexplode("films").alias("pos", "line"))
-        .where(F.col("pos") > 0)
-        .select("source", "about", film_cells.alias("film"))
+        .where((F.size("about") >= 3) & F.element_at("about", 1).rlike(LIST_MAGIC) & (F.size("films") > 0))
         .select(
             "source",
-            F.col("about.Name").alias("list_name"),
-            F.col("about.Tags").alias("tags"),
-            F.col("about.Date").alias("date"),
-            F.col("film.Name").alias("name"),
-            F.col("film.Year").alias("year"),
-            F.col("film.URL").alias("url"),
+            header(F.element_at("about", 2)).alias("about_header"),
+            _cells(F.element_at("about", 3)).alias("about"),
+            header(F.element_at("films", 1)).alias("header"),
+            F.slice("films", 2, F.size("films")).alias("films"),
         )
     )
+    entries = lists.select("*", F.explode("films").alias("line")).withColumn("film", _cells(F.col("line")))
+    of_list = lambda name: _named(F.col("about_header"), F.col("about"), name)
+    of_film = lambda name: _named(F.col("header"), F.col("film"), name)
+    return entries.select(
+        "source",
+        of_list("Name").alias("list_name"),
+        of_list("Tags").alias("tags"),
+        of_list("Date").alias("date"),
+        of_film("Name").alias("name"),
+        of_film("Year").alias("year"),
+        of_film("URL").alias("url"),
+    )
 
 
 def list_interactions(entries: DataFrame, *, deleted: bool) -> DataFrame:
