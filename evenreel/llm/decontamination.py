@@ -35,9 +35,6 @@ INDEX_ITEMS = 1024
 #: Bytes of text that are searched in one sweep.
 SLAB = 1 << 20
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-
-
 _BLANK = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _POWERS = np.random.default_rng(7).integers(1, 1 << 63, 1024, dtype=np.uint64) * 2 + np.uint64(1)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -92,7 +89,9 @@ class Index:
         self.hashes = hashes[self.numbers]
         self.longest = max((len(w) for _, _, w in texts), default=1)
         n, mean = len(texts), np.mean([len(w) for _, _, w in texts]) if texts else 1.0
-        self.weights = np.zeros((len(self.vocabulary) + 1, n), dtype=np.float32)  # the last row: other words
+        # per block the best weight of each word; the last row: other words
+        self.bounds = np.zeros((len(self.vocabulary) + 1, -(-n // BLOCK)), dtype=np.float32)
+        self.postings: list[tuple[np.ndarray, np.ndarray]] = []  # per item its words, ascending, and their weights
         self.question: list[set] = []
         self.answer: list[set] = []
         for i, (_, text, words) in enumerate(texts):
@@ -110,11 +109,10 @@ class Index:
             # a missing word takes at least one shingle with it
             missing = int((1 - OVERLAP) * len(set(every)) + 1e-9)
             least = sum(sorted(worth.values())[: max(1, len(worth) - missing)])
-            for word, value in worth.items():
-                self.weights[word, i] = value / least
-        blocks = -(-n // BLOCK) if n else 0
-        padded = np.pad(self.weights, ((0, 0), (0, blocks * BLOCK - n)))
-        self.bounds = padded.reshape(len(padded), blocks, BLOCK).max(2) if n else np.zeros((len(padded), 0), np.float32)
+            terms = np.array(sorted(worth))
+            weights = np.array([worth[t] / least for t in terms.tolist()], dtype=np.float32)
+            self.postings.append((terms, weights))
+            self.bounds[terms, i // BLOCK] = np.maximum(self.bounds[terms, i // BLOCK], weights)
 
     def search(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
         """Per text: item -> shares of its shingles, of its question's and of its answer's, best passage."""
@@ -188,15 +186,20 @@ class Index:
             items = np.flatnonzero(np.repeat(likely[h], BLOCK)[: len(self.items)])
             two = h + 1 < len(number) and number[h + 1] == number[h] + 1
             known = np.unique(terms[first[h] : last[h + two]])
-            scores = self.weights[known[:, None], items].sum(0)
-            good = items[scores >= 1 - 1e-3]
-            if len(good):
+            good = [i for i in items.tolist() if self._score(i, known) >= 1 - 1e-3]
+            if good:
                 k = int(np.searchsorted(base, number[h], side="right")) - 1
                 begin = int(first_word[k] + (number[h] - base[k]) * step)
                 passage = ids[begin : min(begin + 2 * step, int(first_word[k + 1]))].tolist()
-                for i in good.tolist():
+                for i in good:
                     self._verify(i, passage, found[held[k][0]])
 
+    def _score(self, i: int, known: np.ndarray) -> float:
+        """Weight of an item's words among the ``known`` ones."""
+        terms, weights = self.postings[i]
+        place = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+        return float(weights[known[place] == terms].sum())
+
     def _verify(self, i: int, passage: list[int], found: dict) -> None:
         question, answer = self.question[i], self.answer[i]
         width = len(next(iter(question)))
