@@ -91,7 +91,7 @@ class Index:
         n, mean = len(texts), np.mean([len(w) for _, _, w in texts]) if texts else 1.0
         # per block the best weight of each word; the last row: other words
         self.bounds = np.zeros((len(self.vocabulary) + 1, -(-n // BLOCK)), dtype=np.float32)
-        self.postings: list[tuple[np.ndarray, np.ndarray]] = []  # per item its words, ascending, and their weights
+        postings: list[tuple[np.ndarray, np.ndarray]] = []
         self.question: list[set] = []
         self.answer: list[set] = []
         for i, (_, text, words) in enumerate(texts):
@@ -111,8 +111,12 @@ class Index:
             least = sum(sorted(worth.values())[: max(1, len(worth) - missing)])
             terms = np.array(sorted(worth))
             weights = np.array([worth[t] / least for t in terms.tolist()], dtype=np.float32)
-            self.postings.append((terms, weights))
+            postings.append((terms, weights))
             self.bounds[terms, i // BLOCK] = np.maximum(self.bounds[terms, i // BLOCK], weights)
+        # the items' words and weights, item after item, and where each item begins
+        self.terms = np.concatenate([t for t, _ in postings]) if n else np.zeros(0, np.int64)
+        self.weights = np.concatenate([w for _, w in postings]) if n else np.zeros(0, np.float32)
+        self.begins = np.cumsum([0, *(len(t) for t, _ in postings)])
 
     def search(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
         """Per text: item -> shares of its shingles, of its question's and of its answer's, best passage."""
@@ -182,11 +186,13 @@ class Index:
         after = np.flatnonzero(np.diff(number) == 1)
         bound[after] += bound[after + 1]
         likely = bound >= 1 - 1e-3
+        there = np.zeros(other, dtype=bool)
         for h in np.flatnonzero(likely.any(1)).tolist():
-            items = np.flatnonzero(np.repeat(likely[h], BLOCK)[: len(self.items)])
             two = h + 1 < len(number) and number[h + 1] == number[h] + 1
-            known = np.unique(terms[first[h] : last[h + two]])
-            good = [i for i in items.tolist() if self._score(i, known) >= 1 - 1e-3]
+            known = terms[first[h] : last[h + two]]
+            there[known] = True
+            good = [i for b in np.flatnonzero(likely[h]).tolist() for i in self._retrieved(b, there)]
+            there[known] = False
             if good:
                 k = int(np.searchsorted(base, number[h], side="right")) - 1
                 begin = int(first_word[k] + (number[h] - base[k]) * step)
@@ -194,11 +200,12 @@ class Index:
                 for i in good:
                     self._verify(i, passage, found[held[k][0]])
 
-    def _score(self, i: int, known: np.ndarray) -> float:
-        """Weight of an item's words among the ``known`` ones."""
-        terms, weights = self.postings[i]
-        place = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-        return float(weights[known[place] == terms].sum())
+    def _retrieved(self, block: int, there: np.ndarray) -> list[int]:
+        """Items of a block whose words ``there`` are worth their threshold."""
+        begins = self.begins[block * BLOCK : (block + 1) * BLOCK + 1]
+        part = slice(begins[0], begins[-1])
+        scores = np.add.reduceat(self.weights[part] * there[self.terms[part]], begins[:-1] - begins[0])
+        return (np.flatnonzero(scores >= 1 - 1e-3) + block * BLOCK).tolist()
 
     def _verify(self, i: int, passage: list[int], found: dict) -> None:
         question, answer = self.question[i], self.answer[i]
