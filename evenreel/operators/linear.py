@@ -13,16 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenreel.operators.vectors import dimension, gather, sum_columns
-from evenreel.session import cut, written
+from evenreel.operators.vectors import dimension
+from evenreel.session import written
 
 MAX_DIM = 1024
 # partial sums per last folding task: few for small systems, more for wide ones
 SLOTS, WIDE_SLOTS, WIDE = 4, 64, 1 << 17
-BROADCAST_BYTES = 32 << 20
+# cells of a block of a sparse matrix
+BLOCK_CELLS = 1 << 18
 
 
 def _fold(frame: DataFrame, columns: Sequence[str], partial, width: int) -> np.ndarray:
@@ -156,19 +159,6 @@ def nonnegative(m: Moments, *, rounds: int = 20_000) -> LinearFit:
     return LinearFit(weights, float(mean_y - mean_x @ weights), 0.0)
 
 
-def _turn(frame: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    """Multiply every row vector by a small matrix."""
-    schema = f"{key} {dict(frame.dtypes)[key]}, vec array<double>"
-
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                rows = np.vstack(batch["vec"].to_numpy()) @ matrix
-                yield pd.DataFrame({key: batch[key], "vec": list(rows)})
-
-    return frame.select(key, "vec").mapInPandas(turn, schema)
-
-
 def _self_gram(frame: DataFrame, d: int) -> np.ndarray:
     def partial(batch: pd.DataFrame) -> np.ndarray:
         x = np.vstack(batch["vec"].to_numpy())
@@ -197,53 +187,148 @@ class Decomposition:
         return float((self.singular_values**2).sum() / self.energy) if self.energy else 0.0
 
 
+class RowBlocks:
+    """A sparse matrix (row, col, value) cut into blocks of whole rows.
+
+    A block holds about ``BLOCK_CELLS`` cells, more only if one row alone has
+    more, and it asks once for each column vector that its cells need. What moves
+    is one vector per (block, column), not one per cell. Rows are whole, so A V
+    and A'(A V) are formed where the block lies, and only sums per column leave it.
+    Cells without a column count as absent; rows without an id are one row.
+    """
+
+    def __init__(self, cells: DataFrame) -> None:
+        cells = cells.select("row", "col", F.col("value").cast("double").alias("value"))
+        cells = written(cells.where("col is not null"), "cells")
+        stats = cells.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("col").alias("cols"),
+            F.sum(F.col("value") * F.col("value")).alias("energy"),
+        ).first()
+        self.n_cols, self.energy = int(stats["cols"]), float(stats["energy"] or 0.0)
+        blocks = max(1, -(-int(stats["n"]) // BLOCK_CELLS))
+        self.cells = cells.withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+        self.columns = cells.select("col").distinct()
+        self.needed = written(self.cells.select("_block", "col").distinct(), "block-columns")
+
+    def apply(self, vectors: DataFrame, work, schema: str) -> DataFrame:
+        """Run ``work(cells, vectors)`` on every block beside the vectors (col, vec) it needs."""
+        side = self.needed.join(vectors, "col")
+        return self.cells.groupBy("_block").cogroup(side.groupBy("_block")).applyInArrow(work, schema)
+
+
+def _dense(lists: pa.ChunkedArray, d: int) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    n, d = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(matrix.ravel()))
+
+
+def _indexed(cells: pa.Table, vectors: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, and per cell its row number, its vector's number and its value."""
+    at = pc.index_in(cells["col"], value_set=vectors["col"].combine_chunks())
+    cells = cells.filter(pc.is_valid(at))
+    rows = cells["row"].combine_chunks().dictionary_encode(null_encoding="encode")
+    return (
+        rows.dictionary,
+        rows.indices.to_numpy(zero_copy_only=False),
+        at.drop_null().to_numpy(),
+        cells["value"].to_numpy(),
+    )
+
+
+def _image(cells: pa.Table, vectors: pa.Table, basis: np.ndarray) -> np.ndarray:
+    """A'(A V) of one block, a row per vector; one dimension at a time."""
+    rows, row, at, value = _indexed(cells, vectors)
+    out = np.empty_like(basis.T, order="C")
+    for j, x in enumerate(np.ascontiguousarray(basis.T)):
+        y = np.bincount(row, weights=value * x[at], minlength=len(rows))
+        out[j] = np.bincount(at, weights=value * y[row], minlength=len(x))
+    return out.T
+
+
 def truncated_svd(
-    cells: DataFrame, k: int, *, iterations: int = 4, oversample: int = 8, seed: int = 0
+    cells: DataFrame | RowBlocks, k: int, *, iterations: int = 4, oversample: int = 8, seed: int = 0
 ) -> Decomposition:
     """Leading k right singular vectors of a sparse matrix of (row, col, value).
 
-    Randomised subspace iteration written as joins: A V and A'(A V) are each a
-    join on the shared index and a per-key sum of vectors, so neither side of
-    the matrix has to fit anywhere. The vectors are cut from their lineage once
-    per round through the shared checkpoint folder.
+    Randomised subspace iteration. A round forms A'(A V) in one pass over the
+    blocks of rows, then adds the blocks' shares per column; tasks add theirs
+    before the shuffle, so a column that every block holds is no hot spot. The
+    sums are a written table of each round, which cuts their lineage.
     """
-    cells = written(cells.select("row", "col", F.col("value").cast("double").alias("value")), "cells")
-    stats = cells.agg(
-        F.count_distinct("col").alias("cols"), F.sum(F.col("value") * F.col("value")).alias("energy")
-    ).first()
-    k = max(1, min(k, int(stats["cols"])))
-    width = min(k + oversample, int(stats["cols"]))
-    if not stats["energy"]:  # nothing but zeros: any direction will do
+    blocks = cells if isinstance(cells, RowBlocks) else RowBlocks(cells)
+    k = max(1, min(k, blocks.n_cols))
+    width = min(k + oversample, blocks.n_cols)
+    if not blocks.energy:  # nothing but zeros: any direction will do
         flat = F.array(*[F.lit(0.0)] * k)
-        return Decomposition(cells.select("col").distinct().withColumn("vec", flat), np.zeros(k), 0.0)
-
-    def push(vectors: DataFrame, on: str, to: str, d: int, known_rows: int | None) -> DataFrame:
-        side = vectors.withColumnRenamed(vectors.columns[0], on)
-        if known_rows is not None and known_rows * d * 8 <= BROADCAST_BYTES:
-            side = F.broadcast(side)
-        joined = cells.join(side, on)
-        return joined.groupBy(to).agg(*sum_columns("vec", d, "value")).select(to, gather(d).alias("vec"))
-
-    def start(i: int):
-        # hash digits as a repeatable test matrix, uniform on [-1, 1]
-        return (F.pmod(F.xxhash64("col", F.lit(seed), F.lit(i)), F.lit(1_000_003)) / 500_001.5) - 1.0
-
-    n_cols = int(stats["cols"])
-    basis = cells.select("col").distinct().select("col", F.array(*[start(i) for i in range(width)]).alias("vec"))
-    d = width
+        return Decomposition(blocks.columns.withColumn("vec", flat), np.zeros(k), 0.0)
+    kind = blocks.cells.schema["col"].dataType.simpleString()
+
+    def image(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
+        n, d = matrix.shape
+
+        def work(part: pa.Table, side: pa.Table) -> pa.Table:
+            if not part.num_rows or not side.num_rows:
+                return pa.table({"col": side["col"].slice(0, 0), "vec": pa.array([], pa.list_(pa.float64()))})
+            return pa.table({"col": side["col"], "vec": _lists(_image(part, side, _dense(side["vec"], n) @ matrix))})
+
+        shares = blocks.apply(vectors, work, f"col {kind}, vec array<double>")
+        sums = F.expr("array(" + ", ".join(f"sum(vec[{i}])" for i in range(d)) + ")")
+        return written(shares.groupBy("col").agg(sums.alias("vec")), "vectors")
+
+    def gram(vectors: DataFrame, matrix: np.ndarray) -> np.ndarray:
+        """(A V)'(A V), which is the sum of V'A'(A V) over the blocks."""
+        n, d = matrix.shape
+
+        def work(part: pa.Table, side: pa.Table) -> pa.Table:
+            if not part.num_rows or not side.num_rows:
+                return pa.table({"sums": pa.array([], pa.list_(pa.float64()))})
+            basis = _dense(side["vec"], n) @ matrix
+            return pa.table({"sums": _lists((basis.T @ _image(part, side, basis)).reshape(1, -1))})
+
+        shares = blocks.apply(vectors, work, "sums array<double>")
+        return _fold(shares, ["sums"], lambda batch: np.sum(np.vstack(batch["sums"].to_numpy()), 0), d * d).reshape(d, d)
+
+    # hash digits as a repeatable test matrix, uniform on [-1, 1]
+    digits = f"pmod(xxhash64(col, {seed}, i), 1000003) / 500001.5D - 1"
+    vectors = blocks.columns.withColumn("vec", F.expr(f"transform(sequence(0, {width - 1}), i -> {digits})"))
+    matrix = np.eye(width)
     for _ in range(iterations):
-        image = push(push(basis, "col", "row", d, n_cols), "row", "col", d, None)
-        image = cut(image)
-        matrix = _whitening(_self_gram(image, d))
-        d = matrix.shape[1]
-        basis = _turn(image, "col", matrix)
-    values, rotation = np.linalg.eigh(_self_gram(push(basis, "col", "row", d, n_cols), d))
+        vectors = image(vectors, matrix)
+        matrix = _whitening(_self_gram(vectors, matrix.shape[1]))
+    values, rotation = np.linalg.eigh(gram(vectors, matrix))
     order = np.argsort(values)[::-1][:k]
-    columns = cut(_turn(basis, "col", rotation[:, order]))
-    return Decomposition(columns, np.sqrt(np.maximum(values[order], 0.0)), float(stats["energy"] or 0.0))
+    last = matrix @ rotation[:, order]
 
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                turned = _dense(pa.chunked_array([batch["vec"]]), len(last)) @ last
+                yield pa.RecordBatch.from_arrays([batch["col"], _lists(turned)], ["col", "vec"])
 
-def project(cells: DataFrame, columns: DataFrame, d: int) -> DataFrame:
-    """Rows of a sparse matrix times the column vectors: (row, vec)."""
-    joined = cells.select("row", "col", F.col("value").cast("double").alias("value")).join(columns, "col")
-    return joined.groupBy("row").agg(*sum_columns("vec", d, "value")).select("row", gather(d).alias("vec"))
+    columns = written(vectors.mapInArrow(turn, f"col {kind}, vec array<double>"), "vectors")
+    return Decomposition(columns, np.sqrt(np.maximum(values[order], 0.0)), blocks.energy)
+
+
+def project(cells: DataFrame | RowBlocks, columns: DataFrame, d: int) -> DataFrame:
+    """Rows of a sparse matrix times the column vectors: (row, vec).
+
+    Rows are whole in their blocks, so the products need no further shuffle. A
+    row without a known column is left out.
+    """
+    blocks = cells if isinstance(cells, RowBlocks) else RowBlocks(cells)
+    kind = blocks.cells.schema["row"].dataType.simpleString()
+
+    def work(part: pa.Table, side: pa.Table) -> pa.Table:
+        if not part.num_rows or not side.num_rows:
+            return pa.table({"row": part["row"].slice(0, 0), "vec": pa.array([], pa.list_(pa.float64()))})
+        rows, row, at, value = _indexed(part, side)
+        out = np.empty((d, len(rows)))
+        for j, x in enumerate(np.ascontiguousarray(_dense(side["vec"], d).T)):
+            out[j] = np.bincount(row, weights=value * x[at], minlength=len(rows))
+        return pa.table({"row": rows, "vec": _lists(np.ascontiguousarray(out.T))})
+
+    return blocks.apply(columns, work, f"row {kind}, vec array<double>")

@@ -1243,7 +1243,7 @@ def tfidf_vocabulary(t):
 def text_svd(t):
     """Standardised components of the documents' words and word pairs."""
     docs = t.documents()
-    block = features.ReducedText(features.synopsis_settings(), 8, iterations=2).fit(docs)
+    block = features.ReducedText(features.synopsis_settings(), 64).fit(docs)
     return block.transform(docs, "synopsis:").select("row", "term", *r6("value"))
 
 
@@ -1296,18 +1296,14 @@ def neutralise(t):
 
 @query("item_vectors")
 def item_vectors(t):
-    vectors = features.item_vectors(
-        t.catalogue(), n_components=16, keyword_components=8, synopsis_components=8, iterations=2
-    )
+    vectors = features.item_vectors(t.catalogue())
     return vectors.select("movieId", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query("archive_vectors")
 def archive_vectors(t):
     """The same kind of vectors under the archive's film numbers, catalogue blocks only."""
-    vectors = features.item_vectors(
-        t.catalogue(), n_components=8, blocks=features.CATALOGUE_BLOCKS, synopsis_components=4, iterations=2
-    )
+    vectors = features.item_vectors(t.catalogue(), blocks=features.CATALOGUE_BLOCKS)
     rekeyed = features.vectors_for_archive(vectors, archive.bridge(t.links()))
     return rekeyed.select("movieId", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
@@ -1508,7 +1504,7 @@ def model_gbt(t):
 
 
 def _factor_table(t):
-    factors = models.item_factors(t.model_ratings(), n_factors=8, iterations=2)
+    factors = models.item_factors(t.model_ratings())
     return factors.select(F.col("movieId").alias("row"), "item_mean", "factors")
 
 
