@@ -159,7 +159,9 @@ def nonnegative(m: Moments, *, rounds: int = 20_000) -> LinearFit:
     return LinearFit(weights, float(mean_y - mean_x @ weights), 0.0)
 
 
-def _self_gram(frame: DataFrame, d: int) -> np.ndarray:
+def self_gram(frame: DataFrame, d: int) -> np.ndarray:
+    """Inner products of the d columns of the row vectors ``vec``."""
+
     def partial(batch: pd.DataFrame) -> np.ndarray:
         x = np.vstack(batch["vec"].to_numpy())
         return (x.T @ x).ravel()
@@ -298,7 +300,7 @@ def truncated_svd(
     matrix = np.eye(width)
     for _ in range(iterations):
         vectors = image(vectors, matrix)
-        matrix = _whitening(_self_gram(vectors, matrix.shape[1]))
+        matrix = _whitening(self_gram(vectors, matrix.shape[1]))
     values, rotation = np.linalg.eigh(gram(vectors, matrix))
     order = np.argsort(values)[::-1][:k]
     last = matrix @ rotation[:, order]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenreel.functions import numeric as num
-from evenreel.operators import archive, crossval, crowd, features, models, personal, protocol, ranking, reports
+from evenreel.operators import archive, crossval, crowd, features, linear, models, personal, protocol, ranking, reports
 from evenreel.operators import interactions as inter
 from evenreel.operators.ordering import average_rank
 from evenreel.operators.quantiles import rank_first_deciles
@@ -449,6 +449,18 @@ def item_factors(t):
     )
 
 
+@query(
+    "item_factors_gram",
+    "select i::integer as i, j::integer as j, (i = j)::integer::double as gram from range(64) a(i), range(64) b(j)",
+)
+def item_factors_gram(t):
+    """Inner products of the latent dimensions over all films: they are orthonormal."""
+    table = models.item_factors(t.model_ratings()).select(F.col("factors").alias("vec"))
+    gram = linear.self_gram(table, dimension(table, "vec"))
+    rows = [(i, j, round(float(x), 6) + 0.0) for i, line in enumerate(gram) for j, x in enumerate(line)]
+    return t.spark.createDataFrame(rows, "i int, j int, gram double")
+
+
 @query("model_biased_mf")
 def model_biased_mf(t):
     return _scored(t, models.BiasedMF(n_factors=64, iterations=4))
@@ -1250,6 +1262,20 @@ def text_svd(t):
 _NUMERIC = features.NUMERIC_COLUMNS
 
 
+@query(
+    "text_svd_moments",
+    "select 'synopsis:' || i as term, (select count(*) from documents) as n, 0.0::double as mean, 1.0::double as sd from range(64) x(i)",
+)
+def text_svd_moments(t):
+    """Every component has mean 0 and deviation 1 over all documents."""
+    docs = t.documents()
+    block = features.ReducedText(features.synopsis_settings(), 64).fit(docs)
+    stats = block.transform(docs, "synopsis:").groupBy("term").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")
+    )
+    return stats.select("term", "n", (F.round("mean", 6) + 0.0).alias("mean"), *r6("sd"))
+
+
 def _numeric_sql() -> str:
     filled = ", ".join(f"coalesce({c}, (select median({c}) from feats)) as {c}" for c in _NUMERIC)
     scaled = ", ".join(
@@ -1498,6 +1524,23 @@ def model_ridge(t):
     return _out_of_fold(t, personal.ContentRidge())
 
 
+@query("ridge_gradient", "select i::integer as dim, 0.0::double as gradient from range(-1, 64) x(i)")
+def ridge_gradient(t):
+    """Slope of the penalised squared error at the fitted weights; -1 is the intercept."""
+    rated = t.labelled_vectors()
+    model = personal.ContentRidge().fit(rated)
+    s = model.solution
+    error = F.col("rating") - F.col("predicted")
+    sums = model.predict(rated).agg(
+        F.sum(error).alias("g-1"), *[F.sum(F.col("vec")[i] * error).alias(f"g{i}") for i in range(len(s.weights))]
+    )
+    slopes = [F.struct(F.lit(-1).alias("dim"), F.col("g-1").alias("gradient"))] + [
+        F.struct(F.lit(i).alias("dim"), (F.col(f"g{i}") - float(s.alpha * w)).alias("gradient"))
+        for i, w in enumerate(s.weights)
+    ]
+    return sums.select(F.inline(F.array(*slopes))).select("dim", (F.round("gradient", 6) + 0.0).alias("gradient"))
+
+
 @query("model_gbt")
 def model_gbt(t):
     return _out_of_fold(t, personal.GradientBoosted(trees=10))
@@ -1567,6 +1610,54 @@ def stack_weights(t):
     )
 
 
+@query(
+    "hybrid_mix",
+    statement(
+        """select vec_id as row, vec_id in (select movieId from mr group by 1 having count(*) >= 20) as covered, 0.0::double as gap from embeddings""",
+        "mr",
+    ),
+)
+def hybrid_mix(t):
+    """Distance of every blended prediction from its two legs mixed by the fitted weight."""
+    rated = t.labelled_vectors()
+    blend = personal.SupportGatedBlend(personal.ContentRidge(), personal.CollaborativeFold(_factor_table(t))).fit(rated)
+    legs = blend.content.predict(rated).select("row", F.col("predicted").alias("content"))
+    legs = legs.join(blend.collaborative.predict(rated).select("row", F.col("predicted").alias("collab")), "row")
+    both = blend.predict(rated).join(legs, "row").join(
+        blend.collaborative.coverage(rated).select("row", "covered"), "row"
+    )
+    w = F.when(F.col("covered"), F.lit(blend.weight)).otherwise(0.0)
+    gap = F.abs(F.col("predicted") - (1.0 - w) * F.col("content") - w * F.col("collab"))
+    return both.select("row", "covered", F.round(gap, 6).alias("gap"))
+
+
+@query(
+    "stack_optimality",
+    """select unnest(['global_mean', 'crowd_score', 'intercept']) as member, true as allowed, true as stationary""",
+)
+def stack_optimality(t):
+    """Non-negative least squares: no weight below 0, no slope at a positive one, none that asks for more at 0."""
+    rated = _house(t)
+    members = [personal.GlobalMean(), personal.CrowdScore()]
+    stack = personal.StackedEnsemble(members).fit(rated)
+    weights = [float(w) for w in stack.weights]
+    held = personal.out_of_fold(members, rated, stack.inner_folds).where("rating is not null")
+    error = F.col("rating") - stack.intercept
+    for i, w in enumerate(weights):
+        error = error - w * F.col(f"p{i}")
+    slopes = [F.avg(error * F.col(f"p{i}")) for i in range(len(members))] + [F.avg(error)]
+    names = [m.name for m in members] + ["intercept"]
+    lines = [
+        F.struct(
+            F.lit(name).alias("member"),
+            F.lit(name == "intercept" or w >= 0).alias("allowed"),
+            ((slope < 1e-6) & ((slope > -1e-6) | F.lit(name != "intercept" and w == 0))).alias("stationary"),
+        )
+        for name, w, slope in zip(names, [*weights, 0.0], slopes, strict=True)
+    ]
+    return held.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+
+
 _RECOMMEND = {
     **_HOUSE,
     "line_h": ("select regr_slope(rating, crowd_shrunk) as s, regr_intercept(rating, crowd_shrunk) as i from h", ("h",)),

@@ -1011,7 +1011,32 @@ def _search_hits(t):
     return asked.join(own.unionByName(lines), "film_key")
 
 
-@query("title_similarity")
+def _lcs(a: str, b: str) -> str:
+    """Longest common subsequence of code points: a table row per code point of ``b`` (a list of lists)."""
+    better = f"list_transform({a}[1:j], lambda y, k: case when y = c[1] then coalesce(p[k - 1], 0) + 1 else p[k] end)"
+    line = f"list_transform({a}, lambda x, j: list_max({better}))"
+    return f"list_last(list_reduce({b}, lambda p, c: {line}, list_transform({a}, lambda x: 0)))"
+
+
+_SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+_FULL = norm("p_name || ' ' || p_brand")
+
+
+@query(
+    "title_similarity",
+    f"""with forms as (
+          select p_partkey, unnest({variants('f')}) as l, t, regexp_replace(f, '[aeiou]', '', 'g') as d
+          from (select p_partkey, {_FULL} as f, {norm("p_brand || ' ' || p_name")} as t from part)
+        ), pairs as (select l, t as r from forms union select l, d from forms
+        ), orders as (select l, r, l as a, r as b from pairs
+          union all select l, r, {_SORTED.format('l')}, {_SORTED.format('r')} from pairs
+        ), points as (
+          select l, r, list_transform(string_split(a, ''), lambda x: unicode(x)) as a,
+                 list_transform(string_split(b, ''), lambda x: [unicode(x)]) as b from orders
+        ), scores as (select l, r, max(200.0::double * {_lcs('a', 'b')} / (len(a) + len(b))) as s from points group by l, r)
+        select p_partkey, max(x.s) as reordered, round(max(y.s), 6) as no_vowels
+        from forms f join scores x on x.l = f.l and x.r = f.t join scores y on y.l = f.l and y.r = f.d group by p_partkey""",
+)
 def title_similarity(t):
     """Best similarity of each film's title and its original, misspelt and reordered forms."""
     full = tx.normalize_title(F.concat("p_name", F.lit(" "), "p_brand"))
