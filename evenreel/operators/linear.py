@@ -1,12 +1,13 @@
 """Least squares and truncated SVD over distributed rows.
 
 Rows never travel to the driver. Tasks fold their rows into d x d sums, the
-sums are folded again in a fixed number of slots, and the driver solves one
+sums are folded again in as many slots as the square root of the cores, and the driver solves one
 small system. ``MAX_DIM`` keeps that system small.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -22,8 +23,6 @@ from evenreel.operators.vectors import dimension
 from evenreel.session import written
 
 MAX_DIM = 1024
-# partial sums per last folding task: few for small systems, more for wide ones
-SLOTS, WIDE_SLOTS, WIDE = 4, 64, 1 << 17
 # cells of a block of a sparse matrix
 BLOCK_CELLS = 1 << 18
 
@@ -31,7 +30,8 @@ BLOCK_CELLS = 1 << 18
 def _fold(frame: DataFrame, columns: Sequence[str], partial, width: int) -> np.ndarray:
     """Sum ``partial(batch) -> float array`` over every batch of a table."""
     schema = "slot int, sums array<double>"
-    slots = SLOTS if width < WIDE else WIDE_SLOTS
+    # a task of the second step takes about as many sums as the driver does at the end
+    slots = max(4, math.isqrt(frame.sparkSession.sparkContext.defaultParallelism))
 
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows = np.zeros(width), 0

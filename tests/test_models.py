@@ -164,6 +164,23 @@ def test_biased_mf_folds_histories_in(ratings, cases, truth):
         assert np.allclose(part.score, want)
 
 
+def test_a_history_of_any_length_folds_in_by_sums(spark):
+    rng = np.random.default_rng(5)
+    rows = [(u, i, float(rng.integers(1, 11)) / 2) for u in range(12) for i in range(30) if rng.random() < 0.7 or u == 0]
+    ratings = spark.createDataFrame(rows, "userId long, movieId long, rating double")
+    model = models.BiasedMF(n_factors=3, min_item_ratings=2, iterations=3).fit(ratings)
+    hot = spark.range(20_000).select(F.lit(0).cast("long").alias("userId"), (F.col("id") % 30).alias("movieId"), F.lit(4.0).alias("rating"))
+    few = spark.createDataFrame([(1, 3, 5.0), (1, 4, 1.0), (2, 1, 5.0), (2, 2, 3.0), (2, 3, 1.0)], ratings.schema)
+    got = {r["userId"]: r for r in model.fold_in(hot.union(few), ["userId"]).collect()}
+    assert got[1]["taste"] is None and len(got) == 3
+    items = {r["movieId"]: r for r in model.items.collect()}
+    for user, mine in ((0, [(i, 4.0) for i in range(30)] * 666 + [(i, 4.0) for i in range(20)]), (2, [(1, 5.0), (2, 3.0), (3, 1.0)])):
+        after = np.array([r for _, r in mine]) - ratings.agg(F.avg("rating")).first()[0] - np.array([items[i]["bias"] for i, _ in mine])
+        x = np.vstack([items[i]["factor"] for i, _ in mine])
+        bu = after.sum() / (len(after) + 10)
+        assert np.allclose(got[user]["taste"], np.linalg.solve(x.T @ x + 8 * np.eye(3), x.T @ (after - bu)), atol=1e-8)
+
+
 @pytest.fixture(scope="module")
 def library(spark):
     rng = np.random.default_rng(2)
@@ -193,12 +210,12 @@ def test_ridge_strength_is_chosen_by_leave_one_out(library):
     assert np.allclose(fit.weights, np.linalg.solve(c.T @ c + fit.alpha * np.eye(6), c.T @ (y - y.mean())))
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 1500])
-def test_knn_is_exact_in_one_block_and_in_many(library, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "slab_rows"), [(64 << 20, 1 << 15), (1500, 16)])
+def test_knn_is_exact_in_one_block_and_in_many(library, block_bytes, slab_rows):
     frame, table = library
     train, test = table.where("row < 90"), table.where("row >= 80")
-    model = personal.ContentKNN(neighbours=7, block_bytes=block_bytes).fit(train)
-    assert (len(model._blocks()) == 1) == (block_bytes > 10_000)
+    model = personal.ContentKNN(neighbours=7, block_bytes=block_bytes, slab_rows=slab_rows).fit(train)
+    assert (model.blocks == 1) == (block_bytes > 10_000)
     got = model.predict(test).toPandas().set_index("row")["predicted"]
     x = np.vstack(frame.vec)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
