@@ -54,8 +54,12 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, for tables a job writes and reads back."""
-    return f"{checkpoint_root(spark).rstrip('/')}/evenreel-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, for tables a job writes and reads back.
+
+    All tables of an application share one parent, so that its owner can drop them at once.
+    """
+    run = f"evenreel-{spark.sparkContext.applicationId}"
+    return f"{checkpoint_root(spark).rstrip('/')}/{run}/{label}-{uuid.uuid4().hex}"
 
 
 def written(frame: DataFrame, label: str) -> DataFrame:
