@@ -8,7 +8,9 @@ shingles still allows; weights are divided by it, so that every item is to be
 retrieved at score 1, and none with enough shingles can be missed. Items of
 similar words lie in blocks; a passage whose words cannot add up to 1 even with
 the block's best weights skips the block. Retrieved items are verified by the
-shingles of their question and their answer that stand in the passage.
+share of their shingles that stands in the passage. Question and answer are only
+guessed from one text, so their shares are reported and decide nothing: an answer
+of one word has one shingle, which one changed word takes away.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ from evenreel.operators.ordering import hash_rank
 
 SHINGLE = 5
 OVERLAP = 0.8
-#: Least share of the question's and of the answer's shingles.
-PART = 0.5
 K1, B = 1.2, 0.75
 BLOCK = 8
 #: Items of one index; a larger benchmark takes several passes over the corpus.
@@ -214,7 +214,7 @@ class Index:
         in_question, in_answer = len(question & there), len(answer & there)
         share = len((question | answer) & there) / len(question | answer)
         parts = in_question / len(question), in_answer / len(answer) if answer else 1.0
-        if share >= OVERLAP and min(parts) >= PART:
+        if share >= OVERLAP:
             found[self.items[i]] = max(found.get(self.items[i], (0.0, 0.0, 0.0)), (share, *parts))
 
 

@@ -434,6 +434,28 @@ def test_decontamination(spark, empty, monkeypatch):
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_one_changed_word_hides_no_item(spark):
+    long = prose(37, 41)
+    items = [(1, long + ".\nÑ."), (2, "Why?\n" + long), (3, long + " " + prose(20, 42))]
+    rows = []
+    for item, text in items:
+        words = text.split()
+        for at in range(len(words)):
+            rows.append((100 * item + at, " ".join([prose(30, 43), *words[:at], "changed", *words[at + 1 :], prose(30, 44)])))
+    want = set()
+    for i, text in rows:
+        there = set(decontamination.shingles(decontamination.words_of(text)))
+        for item, body_ in items:
+            grams = set(decontamination.shingles(decontamination.words_of(body_)))
+            if len(grams & there) >= 0.8 * len(grams):
+                want.add((i, item))
+    # the one-word answer and the one-word question changed
+    assert {(100 + len(items[0][1].split()) - 1, 1), (200, 2)} <= want
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()} == want
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_very_long_texts_are_searched_in_pieces(monkeypatch):
     monkeypatch.setattr(decontamination, "SLAB", 3000)
     items = [(i, prose(30, 900 + i) + ". " + prose(8, 950 + i)) for i in range(5)]
