@@ -3,8 +3,9 @@
 Every whole text is scanned for assignments, access keys and hexadecimal keys
 (the base spans), and for other tokens that look random. The hash of each value
 is then counted over the corpus by distinct repositories and distinct owners. A
-value that many owners hold is an example somebody copied; one that belongs to a
-single owner and looks random is a live-looking credential. Random-looking
+value that many owners or many repositories hold is an example somebody copied;
+one that a single owner keeps in few repositories and that looks random is a
+live-looking credential. Random-looking
 tokens outside base spans are reported only if they are owner-specific; base
 spans always stay and carry their class. Only hashes leave the scan.
 """
@@ -26,8 +27,11 @@ from evenreel.session import written
 KINDS = ("assign", "access", "hex", "owned")
 #: From so many owners on, a value is a widely copied example.
 COPIED_OWNERS = 3
-#: A value held by no more owners than this is owner-specific.
+#: From so many repositories on, it is one too, even if one owner has them all.
+COPIED_REPOS = 10
+#: A value held by no more owners than this, in no more repositories, is owner-specific.
 OWN_OWNERS = 1
+OWN_REPOS = 3
 #: Bits of entropy per character from which a value looks live.
 LIVE_ENTROPY = 3.0
 
@@ -138,7 +142,8 @@ def find_secrets(
     spans = found.where(F.size("_spans") > 0).select("_row", "_repo", "_owner", F.explode("_spans").alias("_span"))
     spans = spans.select("_row", "_repo", "_owner", "_span.*")
     judged = spans.join(ownership(spans), "hash")
-    own, copied = F.col("n_owners") <= OWN_OWNERS, F.col("n_owners") >= COPIED_OWNERS
+    own = (F.col("n_owners") <= OWN_OWNERS) & (F.col("n_repos") <= OWN_REPOS)
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS)
     judged = judged.where((F.col("kind") < 3) | own)
     per_row = judged.groupBy("_row").agg(
         # a document's own spans: never more than its text holds

@@ -117,6 +117,19 @@ def test_secret_scan_counts_owners_and_repositories(spark):
     assert got == {"a": (3, 2), "b": (1, 1)}
 
 
+def test_secret_in_many_repositories_of_one_owner_is_copied(spark):
+    example, few = "EXAMPLE1key2VALUE3copied4", "zQ8vT2mK9xL4pW7rB3nY6cH1"
+    rows = [(i, example, None, "hot", "", "", "", "") for i in range(50)]
+    rows += [(100 + i, "EXAMPLE5key6VALUE7unowned8", None, None, "", "", "", "") for i in range(50)]
+    rows += [(200 + i, few, None, "hot", "", "", "", "") for i in range(2)]
+    rows += [(300 + i, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', None, "hot", "", "", "", "") for i in range(50)]
+    got = {r["doc_id"]: r for r in credentials.find_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i]["spans"] == "" and got[i]["n_live"] == 0 for i in [*range(50), *range(100, 150)])
+    assert all(got[200 + i]["spans"] == "owned:0:24" and got[200 + i]["n_live"] == 1 for i in range(2))
+    # base spans stay, and are copied ones: the assignment and the key in it
+    assert all((got[300 + i]["n_copied"], got[300 + i]["n_live"]) == (2, 0) for i in range(50))
+
+
 # -- 2 ---------------------------------------------------------------------------
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 16)
