@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -206,15 +207,34 @@ def partition_keys(groups: DataFrame, n_shards: int) -> tuple[list[int], list[in
     return alone, [int(r.high[c - 1]) if c else -1 for c in _cuts(r, capacity, n)]
 
 
+def table_order(table: DataFrame) -> tuple[Column, Column] | None:
+    """The order in which a Parquet table was written: part number and place in the part.
+
+    None for a table that isn't read from files.
+    """
+    try:
+        table.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    # a part is one file unless the writer limits its rows: then its files are numbered on
+    name = F.col("_metadata.file_name")
+    number, following = (
+        F.concat(F.lit("0"), F.regexp_extract(name, pattern, 1)).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")
+    )
+    return number * (1 << 20) + following, F.col("_metadata.row_index")
+
+
 def shard(
-    docs: DataFrame, n_shards: int, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", fixed: int = 16
+    docs: DataFrame, n_shards: int, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", fixed: int = 16,
+    order: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Deal rows into ``n_shards`` contiguous key ranges of nearly equal bytes.
 
     Returns ``keep`` and size, text_crc32, law (``bytes``), shard, slot (0, 1,
     2 ... in every shard) and grown_shard (null). A null text counts as an empty
     one; equal texts, so also repeated rows, share a shard; an empty table gives
-    an empty one; other columns of any name are not read.
+    an empty one; other columns of any name are not read. Slots follow ``order``,
+    a number of a stretch of rows and a place in it, or else a hash.
     """
     body = F.col(text)
     rows = docs.select(
@@ -222,6 +242,7 @@ def shard(
         (text_bytes(body) + fixed).cast("long").alias("size"),
         F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
         group_key(body).alias("_key"),
+        *([order[0].alias("_stretch"), order[1].alias("_place")] if order else []),
     )
     rows = written(rows, "shard-rows")
     groups = written(rows.groupBy("_key").agg(F.sum("size").alias("_size")), "shard-groups")
@@ -231,15 +252,14 @@ def shard(
         number = number + (F.col("_key") > F.lit(end)).cast("int")
     for place, key in enumerate(alone):
         number = F.when(F.col("_key") == F.lit(key), F.lit(place)).otherwise(number)
-    # slots: shards are cut into cells by row hash, so no task numbers a whole shard
+    # slots: shards are cut into cells by stretch or row hash, so no task numbers a whole shard
     cells = max(1, rows.count() // (SLOT_ROWS * n_shards) + 1) * 8
-    placed = rows.withColumn("shard", number.cast("int")).withColumn(
-        "_cell", F.pmod(F.xxhash64(*keep, "_key"), F.lit(cells)).cast("int")
-    )
+    cell = F.col("_stretch") if order else F.pmod(F.xxhash64(*keep, "_key"), F.lit(cells)).cast("int")
+    placed = rows.withColumn("shard", number.cast("int")).withColumn("_cell", cell)
     counts = placed.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("shard").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("shard", "_cell").orderBy("_key", *keep))
+    inside = F.row_number().over(W.partitionBy("shard", "_cell").orderBy(*(["_place"] if order else []), "_key", *keep))
     return (
         placed.withColumn("_inside", inside)
         .join(offsets, ["shard", "_cell"])

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from evenreel.llm import decontamination, language, queries, simhash
+from evenreel.llm import decontamination, language, mixing, queries, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -60,3 +60,19 @@ def test_pipeline(spark):
     result = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r["shard"] for r in result} <= set(range(corpus_pipeline.N_SHARDS))
     assert {r["doc_id"] for r in result} <= known & clean
+
+
+def test_slots_follow_the_training_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    shards = {}
+    for name, schedules in (("as registered", mixing.SCHEDULES), ("reversed", mixing.SCHEDULES[::-1])):
+        order = mixing.curriculum(mixing.mix(docs, carry=True, schedules=schedules), 7)
+        want = [r["doc_id"] for r in order.orderBy("position", "source", "doc_id").collect()]
+        order.select("_doc.*").write.parquet(str(tmp_path / name))
+        rows = corpus_pipeline.deal_shards(spark, spark.read.parquet(str(tmp_path / name)), FOLDER).collect()
+        shard = {r["doc_id"]: r["shard"] for r in rows}
+        got = {k: [r["doc_id"] for r in sorted(rows, key=lambda r: r["slot"]) if r["shard"] == k] for k in set(shard.values())}
+        assert got == {k: [i for i in want if shard[i] == k] for k in got}
+        assert all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(len(got[k]))) for k in got)
+        shards[name] = got
+    assert shards["as registered"] != shards["reversed"]
