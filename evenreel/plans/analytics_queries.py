@@ -1251,6 +1251,39 @@ def tfidf_vocabulary(t):
     return block.vocabulary.select("term", *r6("idf"))
 
 
+_TFIDF_WHOLE = _TFIDF | {
+    "vocab": (
+        """select term, ln((1.0::double + (select count(*) from documents)) / (1 + count(*))) + 1 as idf from tf
+           group by 1 having count(*) >= 2""",
+        ("tf",),
+    ),
+}
+
+
+@query(
+    "tfidf_block_whole",
+    statement(
+        """select doc_id, count(*) as terms, round(sum(v), 6) as total, round(max(v), 6) as top
+           from (select doc_id, w / sqrt(sum(w * w) over (partition by doc_id)) as v from weights) group by 1""",
+        "weights",
+        extra=_TFIDF_WHOLE,
+    ),
+)
+def tfidf_block_whole(t):
+    """Weights over the whole vocabulary, as the operator does by default."""
+    docs = t.documents()
+    block = features.TfIdf(features.TextSettings(sublinear=True)).fit(docs)
+    return block.transform(docs).groupBy(F.col("row").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("terms"), F.round(F.sum("value"), 6).alias("total"), F.round(F.max("value"), 6).alias("top")
+    )
+
+
+@query("tfidf_vocabulary_whole", statement("select term, round(idf, 6) as idf from vocab", "vocab", extra=_TFIDF_WHOLE))
+def tfidf_vocabulary_whole(t):
+    block = features.TfIdf(features.TextSettings(sublinear=True)).fit(t.documents())
+    return block.vocabulary.select("term", *r6("idf"))
+
+
 @query("text_svd")
 def text_svd(t):
     """Standardised components of the documents' words and word pairs."""

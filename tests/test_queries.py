@@ -49,3 +49,16 @@ def test_query_matches_its_sql(spark, con, name):
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) >= 140
+
+
+@pytest.mark.parametrize("name", ["tfidf_block_whole", "tfidf_vocabulary_whole"])
+def test_whole_vocabulary_matches_its_sql(spark, con, name):
+    frame = entry.queries()[name](spark, FOLDER)
+    cursor = con.execute(entry.oracle_sql()[name])
+    expected = rows([d[0] for d in cursor.description], cursor.fetchall())
+    assert rows(frame.columns, frame.collect()) == expected
+    seen = con.execute(
+        """select count(*) from (select term from (select doc_id, unnest(regexp_extract_all(lower(text), '[^ ]+')) as term
+           from documents) group by 1 having count(distinct doc_id) >= 2)"""
+    ).fetchone()[0]
+    assert seen > 5000 and (name == "tfidf_block_whole" or len(expected[1]) == seen)
