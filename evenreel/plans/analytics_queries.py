@@ -1576,7 +1576,7 @@ def ridge_gradient(t):
 
 @query("model_gbt")
 def model_gbt(t):
-    return _out_of_fold(t, personal.GradientBoosted(trees=10))
+    return _out_of_fold(t, personal.GradientBoosted())
 
 
 def _factor_table(t):

@@ -62,3 +62,12 @@ def test_whole_vocabulary_matches_its_sql(spark, con, name):
            from documents) group by 1 having count(distinct doc_id) >= 2)"""
     ).fetchone()[0]
     assert seen > 5000 and (name == "tfidf_block_whole" or len(expected[1]) == seen)
+
+
+def test_boosted_trees_run_at_the_operators_default(monkeypatch):
+    from evenreel.operators import personal
+    from evenreel.plans import analytics_queries
+
+    monkeypatch.setattr(analytics_queries, "_out_of_fold", lambda t, model: model)
+    assert analytics_queries.model_gbt(None).params == personal.GradientBoosted().params
+    assert personal.GradientBoosted().params["maxIter"] == 400
