@@ -8,9 +8,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from evenreel.session import scratch_path
+
 #: Rows of whole texts that a Python worker holds at once.
 TEXT_ROWS = 512
 
@@ -64,3 +67,22 @@ def filter_rows(frame: DataFrame, columns: list[str], start: Callable[[], Callab
                 yield batch.slice(at, TEXT_ROWS).filter(pa.array(mask, pa.bool_()))
 
     return frame.mapInArrow(run, frame.schema)
+
+
+def bucketed_bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``uid, doc_id, body``: the texts as bytes, written in buckets of a row id, so joins on it move no text.
+
+    The bucketing is known to the plan alone: the catalog keeps no entry.
+    """
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
+    ).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "body")
+    path = scratch_path(spark, "bodies")
+    name = "evenreel_" + path.rsplit("-", 1)[-1]
+    rows.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid").option("path", path).saveAsTable(name)
+    bodies = spark.table(name)
+    bodies.schema  # resolved before the entry goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return bodies

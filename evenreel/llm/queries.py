@@ -13,13 +13,16 @@ from evenreel.llm import (
     chat,
     credentials,
     decontamination,
+    doubling,
     language,
     mixing,
+    repair,
     sharding,
     simhash,
     suffixes,
     token_counts,
     topk,
+    variants,
 )
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -79,11 +82,24 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, folder, "conversations"))
+
+
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return doubling.drop_passages(table(spark, folder, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_exact_topk, op3_sharding, op4_chat_formatting, op5_suffix_dedup, op6_language_id,
-        op7_simhash_dedup, op8_decontamination, op9_mixing, op10_token_counts,
+        op7_simhash_dedup, op8_decontamination, op9_mixing, op10_token_counts, op11_conversation_repair,
+        op12_substring_dedup, op13_spelling_variants,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -91,6 +107,25 @@ _ESCAPED = r"""regexp_replace(regexp_replace(coalesce(text, ''),
     '(<)(\\*(?:s>|/s>|<SYS>>|</SYS>>))', '\1\\\2', 'g'),
     '(\[)(\\*(?:INST\]|/INST\]|ANS\]|ROLE\]|/ROLE\]|/TURN\]))', '\1\\\2', 'g')"""
 
+#: Table of the bytes' remainders for CRC-32, and the checksum of a text column ``s``.
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(hex(encode(s))) // 2),
+  lambda k: ('0x' || substr(hex(encode(s)), 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+
+def _step(path: str, cost: str, letter: str) -> str:
+    """A path, eight digits of cost and the letters, with an edit behind."""
+    return f"lpad((substr({path}, 1, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || substr({path}, 9) || {letter}"
+
+
+def _put_out(path: str, role: str) -> str:
+    kept = f"CASE WHEN first = '{role}' THEN 'K' ELSE 'R' END"
+    return f"CASE WHEN stays THEN {_step(path, f'more + (first <> {role!r})::INTEGER', kept)} END"
+
+
 SQL: dict[str, str] = {
     "op2_exact_topk": """
 WITH v AS (
@@ -153,6 +188,102 @@ SELECT doc_id, size, source_size, target,
     ELSE least(1::DOUBLE, greatest(0::DOUBLE,
       (sqrt(greatest(0::DOUBLE, a * a + (b - a) * (starts[1] / target * (a + b) / 2) * 2)) - a) / (b - a))) END AS position
 FROM epochs""",
+    # insertions never pay: deleting the row's neighbour instead is cheaper
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE}, drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS hit
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations), crc
+), said AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE hit WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE hit <> 0
+), ordered AS (
+  SELECT *, coalesce('=' || conv_id::VARCHAR, '') AS c,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM said
+), spoken AS (
+  SELECT *, substr(role, 1, 1) AS first, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 AS again FROM ordered
+), faults AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(first) OVER (PARTITION BY c ORDER BY pos) || first AS pair FROM spoken
+), rows_ AS (
+  SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more FROM faults
+), paths AS (
+  SELECT DISTINCT c, 0::BIGINT AS pos, '00000000' AS p0, NULL::VARCHAR AS p1, NULL::VARCHAR AS p2, NULL::VARCHAR AS p3 FROM rows_
+  UNION ALL
+  SELECT r.c, r.pos, {_step('p0', '2', "'D'")},
+    least({_step('p1', '2', "'D'")}, CASE WHEN stays AND first = 's' THEN {_step('p0', 'more', "'K'")} END),
+    least({_step('p2', '2', "'D'")}, {_put_out('p0', 'u')}, {_put_out('p1', 'u')}, {_put_out('p3', 'u')}),
+    least({_step('p3', '2', "'D'")}, {_put_out('p2', 'a')})
+  FROM paths p JOIN rows_ r ON r.c = p.c AND r.pos = p.pos + 1
+), best AS (
+  SELECT c, least(arg_max(p0, pos), arg_max(coalesce(p3, '99999999'), pos)) AS path FROM paths GROUP BY c
+), edited AS (
+  SELECT r.*, substr(path, 8 + pos, 1) AS letter FROM rows_ r JOIN best USING (c)
+), put AS (
+  SELECT *, row_number() OVER out_ AS j, first_value(letter = 'K' AND first = 's') OVER out_ AS system
+  FROM edited WHERE letter <> 'D' WINDOW out_ AS (PARTITION BY c ORDER BY pos)
+), repaired AS (
+  SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - system::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || text, chr(10) ORDER BY pos) AS body FROM put GROUP BY c
+), figures AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+    count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+    count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY c
+), all_ AS (SELECT DISTINCT conv_id, coalesce('=' || conv_id::VARCHAR, '') AS c FROM conversations)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(substr(path, 1, 8), '0')::BIGINT AS cost,
+  coalesce(substr(path, 9), '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM all_ LEFT JOIN figures USING (c) LEFT JOIN best USING (c) LEFT JOIN repaired USING (c)""",
+    "op12_substring_dedup": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), words AS (SELECT u, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs
+), hashed AS (
+  SELECT u, doc_id, list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' '))) AS hs FROM docs
+), wins AS (SELECT u, doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM hashed
+), low AS (SELECT h, min(doc_id) AS m FROM wins GROUP BY h
+), hit AS (
+  SELECT u, i FROM wins JOIN low USING (h) WHERE doc_id > m OR (doc_id IS NULL AND m IS NOT NULL)
+), marked AS (
+  SELECT w.u, w.w, w.i, max(h.i) OVER (PARTITION BY w.u ORDER BY w.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words w LEFT JOIN hit h ON w.u = h.u AND w.i = h.i
+)
+SELECT doc_id, count(w) AS n_words, count_if(gone)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256, (count(w) - count_if(gone))::BIGINT AS n_kept
+FROM docs LEFT JOIN marked USING (u) GROUP BY u, doc_id""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), spoken AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n FROM runs GROUP BY ALL
+), drawn AS (SELECT run, n, {_CRC} AS h FROM spoken, crc
+), spelt AS (
+  SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word
+  FROM drawn
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM spelt GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3
+), skips AS (
+  SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS gap, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM skips a JOIN skips b ON a.gap = b.gap AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM skips a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM skips a JOIN words b ON a.less = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM pairs GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+    CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), steps AS (
+  SELECT word, word AS root, 0 AS k FROM forms
+  UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL
+), last AS (SELECT word, arg_max(root, k) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)""",
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenreel.llm.common import arrow_types
-from evenreel.session import scratch_path, written
+from evenreel.llm.common import arrow_types, bucketed_bodies
+from evenreel.session import written
 
 LENGTH = 400
 GRAM = 32
@@ -320,22 +320,10 @@ def _kept(body: bytes, spans: list[dict] | None) -> dict:
     pieces.append(body[end:] if end is not None else body)
     return {
         "n_bytes": len(body), "n_removed": removed, "n_spans": n, "kept_sha256": hashlib.sha256(b"".join(pieces)).hexdigest(),
+        "n_kept": len(body) - removed,
     }
 
 
-def _bucketed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The bodies with row ids, written in buckets of the id: joins on it move no text."""
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body")
-    ).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "body")
-    path = scratch_path(spark, "bodies")
-    name = "evenreel_" + path.rsplit("-", 1)[-1]
-    rows.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid").option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 def repeated_spans(bodies: DataFrame) -> DataFrame:
     """uid, first, last: ranges of starts of ``LENGTH`` bytes that also start elsewhere."""
     types = arrow_types(_RUNS)
@@ -377,19 +365,19 @@ def repeated_spans(bodies: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept of every row.
 
     All strings are judged on the input. A null text is an empty one; texts
     shorter than ``LENGTH`` bytes lose nothing; repeated rows are documents of
     their own, so longer ones lose everything; an empty table gives an empty
     one; other columns are not read.
     """
-    bodies = _bucketed(docs, doc_id, text)
+    bodies = bucketed_bodies(docs, doc_id, text)
     per_document = repeated_spans(bodies).groupBy("uid").agg(
         F.collect_list(F.struct("first", "last")).alias("spans")  # of one text: no longer than it
     )
     kind = bodies.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long"
     types = arrow_types(schema)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
