@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting to remove the shuffle files of an execution when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: int | str = 8, *, memory: str = "12g") -> SparkSession:
     """A single-node session for tests and the benchmark."""
     spark = (
@@ -66,8 +70,15 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     """Write a table once into the shared folder and read it back.
 
     For tables several later jobs read: unlike a cache it survives the loss of
-    an executor without being computed again.
+    an executor without being computed again. The shuffles of a finished write
+    are of no further use; Spark is asked to drop them then, not when the driver
+    happens to collect its garbage.
     """
-    path = scratch_path(frame.sparkSession, label)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(frame.schema).parquet(path)
