@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -55,18 +55,31 @@ def map_rows(frame: DataFrame, start: Callable[[], Callable[[list[dict]], list[d
 def filter_rows(frame: DataFrame, columns: list[str], start: Callable[[], Callable[[list[dict]], list[bool]]]) -> DataFrame:
     """Keep the rows for which Python, shown ``columns``, says True; all columns stay.
 
-    Rows are judged where they lie: nothing is shuffled.
+    Rows are judged where they lie: nothing is shuffled. Columns of any name stay.
     """
+    names = frame.columns
+    plain = frame.toDF(*[f"c{i}" for i in range(len(names))])  # Spark reads a dot in a name as a field
+    places = [names.index(c) for c in columns]
 
     def run(batches):
         work = start()
         for batch in batches:
-            shown = batch.select(columns)
+            shown = batch.select(places).rename_columns(columns)
             for at in range(0, batch.num_rows, TEXT_ROWS):
                 mask = work(shown.slice(at, TEXT_ROWS).to_pylist())
                 yield batch.slice(at, TEXT_ROWS).filter(pa.array(mask, pa.bool_()))
 
-    return frame.mapInArrow(run, frame.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
+def whole_row(frame: DataFrame) -> Column:
+    """All columns as one struct ``c0, c1, ...``, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(frame.columns)])
+
+
+def unpacked(frame: DataFrame, row: str, names: list[str]) -> DataFrame:
+    """The columns of a struct made by ``whole_row``."""
+    return frame.select(*[F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def bucketed_bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

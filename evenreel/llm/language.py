@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 
 import numpy as np
 import pandas as pd
@@ -34,12 +33,12 @@ EVIDENCE = 64
 AMBIGUOUS = 0.05
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    # signs such as ², ½ and ① are no letters
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def trigram_counts(text: str) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evenreel.llm.common import whole_row
 from evenreel.session import written
 
 #: Weights in the order of the sources, repeated.
@@ -110,11 +111,11 @@ def mix(
     have size 0 and are taken 0 times; a null or repeated id is a row like any
     other (equal rows are interchangeable); an empty table gives an empty one.
     Only the three named columns are read, unless ``carry`` asks for the whole
-    row as a struct ``_doc``.
+    row as a struct ``_doc`` (see ``common.whole_row``).
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        *([F.struct(*docs.columns).alias("_doc")] if carry else []),
+        *([whole_row(docs).alias("_doc")] if carry else []),
     )
     payload = ["_doc"] if carry else []
     tie = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))

@@ -16,6 +16,7 @@ first; otherwise its size would be everybody's capacity.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,18 +211,22 @@ def partition_keys(groups: DataFrame, n_shards: int) -> tuple[list[int], list[in
 def table_order(table: DataFrame) -> tuple[Column, Column] | None:
     """The order in which a Parquet table was written: part number and place in the part.
 
-    None for a table that isn't read from files.
+    None for a table that isn't read from files named by part. A column of the
+    table may be called ``_metadata`` too.
     """
     try:
-        table.select("_metadata.file_name", "_metadata.row_index")
+        hidden = table.metadataColumn("_metadata")
+        table.select(hidden["file_name"], hidden["row_index"])
     except AnalysisException:
         return None
+    if not all(re.match(r"part-\d", f.rsplit("/", 1)[-1]) for f in table.inputFiles()):
+        return None
     # a part is one file unless the writer limits its rows: then its files are numbered on
-    name = F.col("_metadata.file_name")
+    name = hidden["file_name"]
     number, following = (
         F.concat(F.lit("0"), F.regexp_extract(name, pattern, 1)).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")
     )
-    return number * (1 << 20) + following, F.col("_metadata.row_index")
+    return number * (1 << 20) + following, hidden["row_index"]
 
 
 def shard(

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenreel.llm.common import arrow_types, map_rows, row_ids
+from evenreel.llm.common import arrow_types, map_rows, row_ids, unpacked, whole_row
 from evenreel.session import written
 
 SEED = 42
@@ -274,9 +274,16 @@ def near_duplicate_ids(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The row with the smallest id of every component, with all its columns."""
-    names = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*names).alias("_doc"))
+    """The row with the smallest id of every component, with all its columns.
+
+    Texts without words are near duplicates of each other; a null id stands
+    last; of repeated rows one stays; an empty table gives an empty one; columns
+    of any name stay.
+    """
+    packed = docs.select("doc_id", "text", whole_row(docs).alias("_doc"))
     prints = written(fingerprints(packed, keep=("doc_id", "_doc")), "simhash")
-    kept = near_duplicates(prints.select("doc_id", "_row", "_fp")).select(F.col("_representative").alias("_row")).distinct()
-    return prints.join(kept, "_row", "left_semi").select("_doc.*")
+    slim = prints.select("doc_id", "_row", "_fp")
+    kept = near_duplicates(slim).select(F.col("_representative").alias("_row")).distinct()
+    # most rows stay: the few that go are looked up
+    gone = written(slim.select("_row").join(kept, "_row", "left_anti"), "copies")
+    return unpacked(prints.join(gone, "_row", "left_anti"), "_doc", docs.columns)
