@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenreel.functions.text import imdb_tt
 from evenreel.operators.ordering import first_per_key
-from evenreel.operators.quantiles import quantile_buckets
+from evenreel.operators.quantiles import grouped_quantiles, quantile_buckets
 
 
 def clean_links(links: DataFrame) -> DataFrame:
@@ -71,13 +71,15 @@ def coverage_by_popularity(
         ratings_per_movie.select("movieId", "n_ratings"), "movieId", "left"
     )
     placed = films.withColumn("decile", quantile_buckets(catalogue, "vote_count", F.col("votes"), bins))
+    placed = placed.where(F.col("decile").isNotNull())
+    middle = grouped_quantiles(placed, ["decile"], "n_ratings", [0.5])
     return (
-        placed.where(F.col("decile").isNotNull())
-        .groupBy("decile")
-        .agg(
-            F.count(F.lit(1)).alias("films"),
-            F.count_if("in_archive").alias("in_archive"),
-            F.coalesce(F.percentile("n_ratings", 0.5).cast("int"), F.lit(0)).alias("median_ratings"),
+        placed.groupBy("decile")
+        .agg(F.count(F.lit(1)).alias("films"), F.count_if("in_archive").alias("in_archive"))
+        .join(middle, "decile", "left")
+        .select(
+            "decile", "films", "in_archive",
+            F.coalesce(F.get("quantiles", F.lit(0)).cast("int"), F.lit(0)).alias("median_ratings"),
         )
         .withColumn("coverage", F.col("in_archive") / F.col("films"))
         .orderBy("decile")

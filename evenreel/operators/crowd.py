@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evenreel.functions.numeric import half_even
 from evenreel.functions.text import normalize_title
 from evenreel.operators.ordering import first_per_key, hash_key, hash_rank, last_per_key
+from evenreel.operators.quantiles import exact_quantiles
 
 # How a slug got its id.
 LINKED = "linked"
@@ -257,7 +258,7 @@ def pool_summary(pool_films: DataFrame, catalogue: DataFrame, known_ids: DataFra
     return films.agg(
         F.count(F.lit(1)).alias("films"),
         cold.alias("cold_share"),
-        F.percentile("votes", 0.5).alias("median_votes"),
+        F.lit(exact_quantiles(films, "votes", [0.5])[0]).cast("double").alias("median_votes"),
         F.count_if(F.col("votes") == 0).alias("zero_votes"),
         F.avg((F.col("votes") < 20).cast("double")).alias("under_20_share"),
     ).withColumn("validated", F.col("cold_share").between(low, high))

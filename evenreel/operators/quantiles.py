@@ -38,6 +38,38 @@ def exact_quantiles(frame: DataFrame, column: str, points: Sequence[float]) -> l
     ]
 
 
+def grouped_quantiles(frame: DataFrame, group: Sequence[str], column: str, points: Sequence[float]) -> DataFrame:
+    """(group ..., quantiles): interpolated quantiles of a column in many groups at once.
+
+    Counts per (group, value) are accumulated per (group, range of values), and
+    each group picks the order statistics next to its positions from them: no
+    buffer holds a group's distinct values, and nothing reaches the driver. Rows
+    without a group or a value are left out, and so are groups without values.
+    """
+    value = F.col("_v")
+    known = frame.select(*group, F.col(column).cast("double").alias("_v")).where(value.isNotNull())
+    # rises with the value, whatever its sign and size
+    spread = (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 64)).cast("long")
+    totals = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
+    cells = value_counts(known, group, "_v", spread).join(totals, list(group))
+    last = F.col("_total") - 1
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place >= F.col("_before")) & (place < F.col("_before") + F.col("_n")), value))
+
+    sides = [
+        F.struct(at(F.floor(p * last)).alias("low"), at(F.ceil(p * last)).alias("high"), F.max(p * last).alias("place"))
+        for p in points
+    ]
+    part = lambda x: x["place"] - F.floor(x["place"])
+    return cells.groupBy(*group).agg(F.array(*sides).alias("_sides")).select(
+        *group,
+        F.transform(
+            "_sides", lambda x: F.when(x["low"] == x["high"], x["low"]).otherwise((1 - part(x)) * x["low"] + part(x) * x["high"])
+        ).alias("quantiles"),
+    )
+
+
 def quantile_edges(reference: DataFrame, column: str, bins: int) -> list[float]:
     """Distinct quantile edges of a column: at most ``bins + 1`` numbers."""
     edges = exact_quantiles(reference, column, [i / bins for i in range(bins + 1)])

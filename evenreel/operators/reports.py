@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenreel.functions.numeric import decade
 from evenreel.operators.ordering import largest, score_ranges, value_counts
-from evenreel.operators.quantiles import quantile_buckets
+from evenreel.operators.quantiles import grouped_quantiles, quantile_buckets
 
 # Vote counts under which a film counts as obscure.
 TAIL_THRESHOLDS = (100, 500, 1000, 5000)
@@ -139,12 +139,11 @@ def tail_share(rated: DataFrame, thresholds: Sequence[int] = TAIL_THRESHOLDS) ->
 
 def popularity_gap(labelled: DataFrame, label: str = "set") -> DataFrame:
     """Films, median, p10 and p90 of votes per labelled set."""
-    points = F.percentile("vote_count", [0.5, 0.1, 0.9])
-    return labelled.groupBy(label).agg(
-        F.count(F.lit(1)).alias("films"),
-        F.element_at(points, 1).cast("int").alias("median_votes"),
-        F.element_at(points, 2).cast("int").alias("p10_votes"),
-        F.element_at(points, 3).cast("int").alias("p90_votes"),
+    points = grouped_quantiles(labelled, [label], "vote_count", [0.5, 0.1, 0.9])
+    films = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("films"))
+    names = ("median_votes", "p10_votes", "p90_votes")
+    return films.join(points, label, "left").select(
+        label, "films", *[F.get("quantiles", F.lit(i)).cast("int").alias(name) for i, name in enumerate(names)]
     )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenreel.functions import numeric as num
-from evenreel.operators import archive, crossval, crowd, features, linear, models, personal, protocol, ranking, reports
+from evenreel.operators import archive, crossval, crowd, features, linear, metadata, models, personal, protocol, ranking, reports
 from evenreel.operators import interactions as inter
 from evenreel.operators.ordering import average_rank
 from evenreel.operators.quantiles import rank_first_deciles
@@ -1355,15 +1358,15 @@ def neutralise(t):
 
 @query("item_vectors")
 def item_vectors(t):
-    vectors = features.item_vectors(t.catalogue())
+    vectors = metadata.item_vectors(t.catalogue())
     return vectors.select("movieId", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query("archive_vectors")
 def archive_vectors(t):
     """The same kind of vectors under the archive's film numbers, catalogue blocks only."""
-    vectors = features.item_vectors(t.catalogue(), blocks=features.CATALOGUE_BLOCKS)
-    rekeyed = features.vectors_for_archive(vectors, archive.bridge(t.links()))
+    links = archive.bridge(t.links())
+    rekeyed = metadata.archive_vectors(t.catalogue(), links, blocks=features.CATALOGUE_BLOCKS)
     return rekeyed.select("movieId", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
@@ -1691,6 +1694,147 @@ def stack_optimality(t):
     return held.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
 
 
+# -- personal models on film metadata, fitted inside the fold ---------------------------------
+
+#: Blocks whose columns SQL can name: all but the two that are reduced by an SVD.
+_NAMED_BLOCKS = ("genres", "directors", "cast", "countries", "numeric", "language")
+_LISTS = {"genres": "genres", "directors": "directors", "cast": '"cast"', "countries": "production_countries"}
+_TOKENS = " union all ".join(
+    f"""select row, fold, '{block}' as block, unnest(list_transform(list_filter({column}, lambda x: trim(x) <> ''),
+        lambda x: replace(lower(trim(x)), ' ', '_'))) as term from film_folds""" for block, column in _LISTS.items()
+)
+_NUMBERS = {
+    "year": "year::double", "runtime": "runtime::double", "log_votes": "ln(1 + vote_count::double)",
+    "crowd_shrunk": "(vote_count * vote_average + 325.0::double) / (vote_count + 50)", "n_keywords": "len(keywords)::double",
+    "n_cast": 'len("cast")::double', "n_directors": "len(directors)::double", "n_genres": "len(genres)::double",
+    "overview_length": "length(overview)::double",
+}
+#: The film matrix of every fold, fitted on the other folds; ``fits`` says on which folds.
+_FILM_MATRIX = {
+    "film_folds": (
+        "select *, tmdb_id as row, (row_number() over (order by md5(concat_ws(':', tmdb_id, 0)), tmdb_id) - 1) % 5 as fold from house",
+        ("house",),
+    ),
+    "fits": ("select f, fold as used from range(5) x(f), range(5) y(fold) where f <> fold", ()),
+    "fit_sizes": ("select f, count(*) as n from fits join film_folds on used = fold group by f", ("fits", "film_folds")),
+    "tokens": (f"select row, fold, block, term, count(*) as tf from ({_TOKENS}) group by all", ("film_folds",)),
+    "film_terms": (
+        """select f, block, term, ln((1.0::double + any_value(n)) / (1 + count(*))) + 1 as idf
+           from tokens join fits on used = fold join fit_sizes using (f) group by all having count(*) >= 2""",
+        ("tokens", "fits", "fit_sizes"),
+    ),
+    "weighted": (
+        """select f, row, fold, block || ':' || term as term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by f, row, block)) as v
+           from tokens join film_terms using (block, term)""",
+        ("tokens", "film_terms"),
+    ),
+    "numbers": (
+        "select row, fold, unnest([" + ", ".join(f"'{n}'" for n in _NUMBERS) + "]) as name, unnest([" + ", ".join(_NUMBERS.values())
+        + "]) as x from film_folds",
+        ("film_folds",),
+    ),
+    "middles": ("select f, name, median(x) as middle from numbers join fits on used = fold group by all", ("numbers", "fits")),
+    "scales": (
+        """select f, name, any_value(middle) as middle, avg(coalesce(x, middle)) as mean, coalesce(nullif(stddev_pop(coalesce(x, middle)), 0), 1) as sd
+           from numbers join fits on used = fold join middles using (f, name) group by f, name""",
+        ("numbers", "fits", "middles"),
+    ),
+    "tongues": (
+        """select f, original_language as lang, count(*) >= 5 as often from film_folds join fits on used = fold group by all""",
+        ("film_folds", "fits"),
+    ),
+    "film_cells": (
+    """select f, row, fold, term, v from weighted
+       union all select f, row, fold, 'numeric:' || name, (coalesce(x, middle) - mean) / sd from numbers join scales using (name)
+       union all select * from (
+         select r.f, row, fold, case when often then 'language:' || original_language when rare then 'language:other' end as term, 1.0::double as v
+         from film_folds cross join (select f, bool_or(not often) as rare from tongues group by f) r
+         left join tongues g on g.f = r.f and g.lang = original_language) where term is not null""",
+    ("weighted", "numbers", "scales", "tongues", "film_folds"),
+    ),
+}
+_FILM_KNN = _FILM_MATRIX | {
+    "film_units": ("select f, row, fold, term, v / sqrt(sum(v * v) over (partition by f, row)) as v from film_cells", ("film_cells",)),
+    "film_near": (
+        """select *, row_number() over (partition by row order by sim desc, other) as place from (
+             select a.row, b.row as other, round(sum(a.v * b.v), 12) as sim from film_units a join film_units b on a.f = b.f and a.term = b.term
+             where a.fold = a.f and b.fold <> b.f group by 1, 2) qualify place <= 25""",
+        ("film_units",),
+    ),
+}
+
+
+def _film_ratings(t):
+    """One person's rated films with their metadata."""
+    return t.house().withColumn("row", F.col("tmdb_id"))
+
+
+def _film_out_of_fold(t, model, vectors=None):
+    held = crossval.cross_validate([metadata.OnMetadata(model, vectors)], _film_ratings(t), k=5)
+    return held.select("row", *r6("actual", "predicted"))
+
+
+@query(
+    "film_knn",
+    statement(
+        """select h.row, round(h.rating, 6) as actual, round(case when bool_or(1 - sim <= 1e-12) then avg(o.rating) filter (where 1 - sim <= 1e-12)
+                  else sum(o.rating / greatest(1 - sim, 1e-12)) / sum(1 / greatest(1 - sim, 1e-12)) end, 6) as predicted
+           from film_near n join film_folds h on h.row = n.row join film_folds o on o.row = n.other group by h.row, h.rating""",
+        "film_near", "film_folds",
+        extra=_FILM_KNN,
+    ),
+)
+def film_knn(t):
+    """Nearest films by metadata: vocabularies, scales and neighbours come from the other folds alone."""
+    return _film_out_of_fold(t, personal.ContentKNN(), metadata.FilmVectors(_NAMED_BLOCKS))
+
+
+@query("film_ridge")
+def film_ridge(t):
+    """Ridge over all eight blocks at full width, everything fitted inside the fold."""
+    return _film_out_of_fold(t, personal.ContentRidge())
+
+
+@query(
+    "film_ridge_slopes",
+    statement(
+        """select distinct term, 0.0::double as gradient from film_cells where f = 0 and fold <> 0
+           union all select 'intercept', 0.0::double""",
+        "film_cells",
+        extra=_FILM_MATRIX,
+    ),
+)
+def film_ridge_slopes(t):
+    """One fold's fit: the columns that its training films have, and the slope of the penalised error at each weight."""
+    train = personal.folds(_film_ratings(t), 5).where("fold <> 0").drop("fold")
+    fitted = metadata.OnMetadata(personal.ContentRidge(), metadata.FilmVectors(_NAMED_BLOCKS)).fit(train)
+    s, terms = fitted.model.solution, fitted.vectors.terms
+    vectors = written(fitted.vectors.transform(train), "film-vectors")
+    error = fitted.model.predict(vectors).select("vec", (F.col("rating") - F.col("predicted")).alias("error"))
+    sums = error.select(F.posexplode("vec").alias("at", "x"), "error").groupBy("at").agg(F.sum(F.col("x") * F.col("error")).alias("g"))
+    pulls = t.spark.createDataFrame([(i, term, float(s.alpha * w)) for i, (term, w) in enumerate(zip(terms, s.weights, strict=True))],
+                                    "at int, term string, pull double")
+    slopes = sums.join(pulls, "at").select("term", (F.col("g") - F.col("pull")).alias("gradient"))
+    whole = slopes.unionByName(error.agg(F.sum("error").alias("gradient")).select(F.lit("intercept").alias("term"), "gradient"))
+    return whole.select("term", (F.round("gradient", 6) + 0.0).alias("gradient"))
+
+
+@query("film_recommend")
+def film_recommend(t):
+    """Unseen films by debiased ridge on their metadata, ranked in all three ways."""
+    seen = inter.film_status(t.interactions(), KEYS).where("seen").select(F.col("film_key").cast("long").alias("tmdb_id"))
+    candidates = t.catalogue().join(seen, "tmdb_id", "left_anti").withColumn("row", F.col("tmdb_id"))
+    fitted = metadata.OnMetadata(personal.ContentRidge(debias=True)).fit(_film_ratings(t))
+    scored = written(fitted.predict(candidates), "scored")
+
+    class Scored:
+        def predict(self, films):
+            return films
+
+    lists = [ranking.recommend(Scored(), None, scored, k=20, mode=mode).withColumn("mode", F.lit(mode)) for mode in ranking.MODES]
+    return reduce(DataFrame.unionByName, lists)
+
+
 _RECOMMEND = {
     **_HOUSE,
     "line_h": ("select regr_slope(rating, crowd_shrunk) as s, regr_intercept(rating, crowd_shrunk) as i from h", ("h",)),

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from evenreel.operators import features, linear, models, personal, protocol, ranking, vectors
+from evenreel.operators import crossval, features, linear, metadata, models, personal, protocol, ranking, vectors
 
 
 @pytest.fixture(scope="module")
@@ -327,7 +327,7 @@ def test_item_vectors_place_like_films_together(spark):
         rows, "tmdb_id long, genres array<string>, keywords array<string>, directors array<string>, "
         "production_countries array<string>, year int, runtime int, vote_count long, vote_average double, "
         "original_language string, overview string, tagline string")
-    table = features.item_vectors(films, n_components=6, keyword_components=2, synopsis_components=2)
+    table = metadata.item_vectors(films, n_components=6, keyword_components=2, synopsis_components=2)
     got = {r["movieId"]: np.array(r["vec"]) for r in table.collect()}
     assert len(got) == 60 and all(len(v) == 6 for v in got.values())
     unit = {k: v / np.linalg.norm(v) for k, v in got.items()}
@@ -338,6 +338,78 @@ def test_item_vectors_place_like_films_together(spark):
         features.FilmMatrix(["genres", "nonsense"])
 
 
+@pytest.fixture(scope="module")
+def shelf(spark):
+    """Rated films in the films' own columns."""
+    rows = []
+    for i in range(80):
+        kind = "noir" if i % 2 else "western"
+        rows.append((i, i, 3.0 + (i % 2) + i % 3 / 10, [kind], [kind, f"{kind} night", f"word {i % 7}"], [f"Director {i % 4}"],
+                     [f"Star {i % 5}"], ["US"], 1950 + i % 7, None if i % 9 == 0 else 90 + i % 5, i * 10, 6.0 + i % 4, "en" if i % 3 else "fr",
+                     f"a {kind} story about {kind} people and towns of the {i % 6} th kind", "x"))
+    return spark.createDataFrame(
+        rows, "row long, tmdb_id long, rating double, genres array<string>, keywords array<string>, directors array<string>, "
+        "cast array<string>, production_countries array<string>, year int, runtime int, vote_count long, vote_average double, "
+        "original_language string, overview string, tagline string").cache()
+
+
+def test_a_held_film_changes_nothing_in_the_fit(shelf):
+    train, held = shelf.where("row < 60"), shelf.where("row >= 60")
+    loud = held.withColumns({"genres": F.array(F.lit("brand new")), "keywords": F.array(F.lit("unheard of")),
+                             "overview": F.lit("words that nobody wrote before"), "year": F.lit(1800), "original_language": F.lit("xx")})
+    fitted = metadata.FilmVectors(("genres", "keywords", "numeric", "language"), keyword_components=2).fit(train)
+    plain = {r["row"]: r["vec"] for r in fitted.transform(shelf).collect()}
+    beside = {r["row"]: r["vec"] for r in fitted.transform(train.unionByName(loud)).collect()}
+    assert all(np.allclose(plain[i], beside[i]) for i in range(60))
+    assert not any("new" in term or "unheard" in term or "xx" in term for term in fitted.terms)
+    assert len(plain[0]) == fitted.width == len(fitted.terms)
+    numbers = np.array([plain[i][fitted.place("numeric:log_votes")] for i in range(60)])
+    assert abs(numbers.mean()) < 1e-9 and abs(numbers.std() - 1) < 1e-9  # of the training films alone
+
+
+@pytest.mark.parametrize(("blocks", "components"), [(("keywords", "numeric", "language"), None), (("genres", "numeric"), 2)])
+def test_stored_vectors_are_the_same(spark, shelf, tmp_path, blocks, components):
+    fitted = metadata.FilmVectors(blocks, components=components, keyword_components=2).fit(shelf)
+    fitted.save(str(tmp_path / "stored"))
+    again = metadata.FilmVectors.load(spark, str(tmp_path / "stored"))
+    want = {r["tmdb_id"]: r["vec"] for r in fitted.vectors(shelf).collect()}
+    got = {r["tmdb_id"]: r["vec"] for r in again.vectors(shelf).collect()}
+    assert want.keys() == got.keys() and all(np.allclose(want[i], got[i]) for i in want)
+
+
+def test_models_on_metadata_predict_every_film_once(shelf):
+    vectors = metadata.FilmVectors(("genres", "numeric", "language"))
+    models_ = [metadata.OnMetadata(m, vectors) for m in (personal.ContentRidge(), personal.ContentKNN(neighbours=5))]
+    held = crossval.cross_validate(models_, shelf, k=2).toPandas()
+    assert len(held) == 160 and held.groupby("model").row.nunique().eq(80).all() and held.predicted.notna().all()
+    assert ((held.predicted - held.actual) ** 2).mean() < 0.2  # the genre tells most of the rating
+
+
+def test_debias_on_metadata_finds_its_column(shelf):
+    vectors = metadata.FilmVectors(("genres", "numeric"))
+    free = metadata.OnMetadata(personal.ContentRidge(debias=True), vectors).fit(shelf)
+    famous = shelf.withColumn("vote_count", F.lit(10**6).cast("long")).withColumn("vote_average", F.lit(None).cast("double"))
+    obscure = famous.withColumn("vote_count", F.lit(3).cast("long"))
+    a, b = (dict(free.predict(x).select("row", "predicted").collect()) for x in (famous, obscure))
+    shrunk = free.vectors.place("numeric:crowd_shrunk")
+    assert all(abs(a[i] - b[i]) < 1e-6 + abs(free.model.solution.weights[shrunk]) * 10 for i in a)
+    with pytest.raises(ValueError):
+        metadata.FilmVectors(("genres",)).fit(shelf).place("numeric:log_votes")
+
+
+def test_vocabularies_are_limited_on_request_only(shelf):
+    whole = metadata.FilmVectors(("directors",)).fit(shelf)
+    assert whole.width == 4 and metadata.FilmVectors(("directors",), vocabularies={"directors": 3}).fit(shelf).width == 3
+
+
+def test_archive_vectors_are_fitted_on_linked_films(spark, shelf):
+    bridge = spark.createDataFrame([(900 + i, float(i)) for i in range(0, 80, 2)], "movieId long, tmdbId double")
+    settings = {"blocks": ("genres", "numeric"), "n_components": 3}
+    got = dict(metadata.archive_vectors(shelf, bridge, **settings).collect())
+    alone = dict(metadata.item_vectors(shelf.where("tmdb_id % 2 = 0"), **settings).collect())
+    assert got.keys() == {900 + i for i in alone} and all(np.allclose(got[900 + i], alone[i]) for i in alone)
+
+
 def test_svd_of_low_rank_and_empty_matrices(spark):
     one = spark.range(40).select((F.col("id") % 8).alias("row"), (F.col("id") % 5).alias("col"), F.lit(1.0).alias("value"))
     svd = linear.truncated_svd(one, 3, iterations=2)  # rank one: fewer vectors than asked
