@@ -195,7 +195,7 @@ def spelling_variants(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     not read.
     """
     words = written(vocabulary(docs, doc_id=doc_id, text=text), "vocabulary")
-    near = neighbours(node_pairs(words))
+    near = neighbours(written(node_pairs(words), "pairs"))  # read by both kinds of pairs
     best_n = -F.col("best.minus_n")
     is_form = best_n >= RATIO * F.col("n")
     joined = words.join(near, "word", "left").select(
