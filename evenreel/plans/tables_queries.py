@@ -11,10 +11,11 @@ from evenreel.operators import catalogue as cat
 from evenreel.operators import interactions as inter
 from evenreel.plans.oracle import band, band_no, marker, norm, statement, variants
 from evenreel.plans.registry import query, r6
-from evenreel.session import scratch_path
+from evenreel.session import scratch_path, written
 from evenreel.sources import archive as archive_source
 from evenreel.sources import dumps, export, payloads, store
 from evenreel.sources.files import read_text_csv
+from evenreel.streaming import status
 from evenreel.streaming import store as streams
 
 # -- sources -----------------------------------------------------------------
@@ -356,6 +357,47 @@ def stream_coverage(t):
     return streams.coverage_from_state(t.spark.read.parquet(state).drop("batch"))
 
 
+STATUS_KEYS = ["user_id", "film_key"]
+
+
+@query(
+    "stream_status",
+    statement("select user_id, film_key, title, year, seen, rating, liked, on_watchlist, watchlist_pending from status", "status"),
+)
+def stream_status(t):
+    """Film status drained in several batches and merged on the way; the last batch comes twice."""
+    inbox, state, ck = (scratch_path(t.spark, n) for n in ("inbox", "state", "stream"))
+    rows = t.interactions()
+    rows.repartition(6).write.parquet(inbox)
+    stream = streams.file_stream(t.spark, inbox, rows.schema, files_per_batch=1)
+    status.stream_status(stream, state, ck, STATUS_KEYS, compact_every=3).awaitTermination()
+    again = t.spark.read.schema(rows.schema).parquet(inbox)
+    status.fold_batch(again, 0, state, STATUS_KEYS)  # taken in already
+    return status.status_from_state(t.spark, state, STATUS_KEYS)
+
+
+@query("store_damage", statement("select tmdb_id from films where tmdb_id % 4 = 0", "films"))
+def store_damage(t):
+    """Ids to fetch again after the file of every fourth film has been torn."""
+    path = scratch_path(t.spark, "store")
+    batch = t.films().select("tmdb_id", "title", "vote_count")
+    for part in range(4):
+        batch.where(F.col("tmdb_id") % 4 == part).coalesce(1).write.parquet(f"{path}/part={part}")
+    manifest = written(store.store_manifest(t.spark, path, batch.schema), "manifest")
+    tear_files(t.spark, f"{path}/part=0/*.parquet")
+    return store.pending_ids(batch.select("tmdb_id"), store.load_healthy(t.spark, path, batch.schema, manifest))
+
+
+def tear_files(spark, pattern: str) -> None:
+    """Overwrite files by a few bytes, as an interrupted write leaves them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(where):
+        out = system.create(found.getPath(), True)
+        out.writeBytes("PAR1 torn")
+        out.close()
+
+
 # -- scalar functions ----------------------------------------------------------
 
 

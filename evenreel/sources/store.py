@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenreel.operators.ordering import first_per_key
@@ -28,6 +31,38 @@ def append_new(batch: DataFrame, path: str, stored: DataFrame | None) -> None:
     fresh.write.mode("append").option("compression", "zstd").parquet(path)
 
 
+def _readable(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of the files that can be read, each with its file; a torn file gives what comes before the tear."""
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
+    return reader.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+
+
+def store_manifest(spark: SparkSession, path: str, schema) -> DataFrame:
+    """(file, rows) of the store's files as they are now; to be kept beside the store after each append."""
+    return _readable(spark, path, schema).groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def damaged_files(spark: SparkSession, path: str, schema, manifest: DataFrame) -> DataFrame:
+    """(file): recorded files that are gone, cannot be read or hold another number of rows than recorded.
+
+    All columns are read, so that a tear behind the first of them shows as well.
+    """
+    rows = _readable(spark, path, schema)
+    filled = reduce(add, [F.col(c).isNotNull().cast("int") for c in rows.columns if c != "_file"])
+    found = rows.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("now"), F.sum(filled).alias("_filled"))
+    checked = manifest.join(found, "file", "left")
+    # the second condition never holds; it keeps all columns in the scan
+    other = (F.col("now") != F.col("rows")) | (F.col("_filled") < 0)
+    return checked.where(F.coalesce(other, F.lit(True))).select("file")
+
+
+def load_healthy(spark: SparkSession, path: str, schema, manifest: DataFrame) -> DataFrame:
+    """The store without its damaged and unrecorded files; what they held is pending again."""
+    damaged = damaged_files(spark, path, schema, manifest)
+    sound = manifest.select("file").join(damaged, "file", "left_anti").withColumnRenamed("file", "_file")
+    return _readable(spark, path, schema).join(sound, "_file", "left_semi").drop("_file")
+
+
 def titles_to_fetch(film_map: DataFrame) -> DataFrame:
     """Each resolved (id, medium) once, however many films share it."""
     return film_map.where(F.col("tmdb_id").isNotNull()).select("tmdb_id", "media_type").distinct()
