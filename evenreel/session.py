@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,19 +68,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{run}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffles of a finished write are of no further use.
+
+    Inside, Spark drops them when a write ends, not when the driver happens to
+    collect its garbage.
+    """
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def written(frame: DataFrame, label: str) -> DataFrame:
     """Write a table once into the shared folder and read it back.
 
     For tables several later jobs read: unlike a cache it survives the loss of
-    an executor without being computed again. The shuffles of a finished write
-    are of no further use; Spark is asked to drop them then, not when the driver
-    happens to collect its garbage.
+    an executor without being computed again.
     """
     spark = frame.sparkSession
-    path, before = scratch_path(spark, label), spark.conf.get(DROP_SHUFFLES)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    path = scratch_path(spark, label)
+    with dropping_shuffles(spark):
         frame.write.parquet(path)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(frame.schema).parquet(path)
