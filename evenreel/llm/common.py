@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from evenreel.session import scratch_path
+from evenreel.session import dropping_shuffles, scratch_path
 
 #: Rows of whole texts that a Python worker holds at once.
 TEXT_ROWS = 512
@@ -94,7 +94,8 @@ def bucketed_bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     ).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "body")
     path = scratch_path(spark, "bodies")
     name = "evenreel_" + path.rsplit("-", 1)[-1]
-    rows.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid").option("path", path).saveAsTable(name)
+    with dropping_shuffles(spark):
+        rows.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid").option("path", path).saveAsTable(name)
     bodies = spark.table(name)
     bodies.schema  # resolved before the entry goes; the files stay
     spark.sql(f"DROP TABLE {name}")
