@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evenreel.functions import numeric as num
 from evenreel.functions import text as tx
-from evenreel.operators import archive, crowd, resolution
+from evenreel.operators import archive, crowd, resolution, retrieval
 from evenreel.operators import catalogue as cat
 from evenreel.operators import interactions as inter
 from evenreel.plans.oracle import band, band_no, marker, norm, statement, variants
@@ -1017,6 +1017,11 @@ _QUERY_TITLE = "case when p_type = 'ECONOMY' then 'The ' || p_name || ' ' || p_b
 _QUERY_YEAR = "case p_type when 'LARGE' then p_size + 1951 when 'SMALL' then null else p_size + 1950 end"
 
 
+_ASKED = {
+    "asked": (f"select 's' || p_partkey as film_key, {_QUERY_TITLE} as title, {_QUERY_YEAR} as year from part", ()),
+}
+
+
 def _asked_films(t):
     return t.raw("part").select(
         F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("film_key"),
@@ -1091,7 +1096,71 @@ def title_similarity(t):
     )
 
 
-@query("resolve_candidates")
+def _tiers_sql(pairs: str, out: str) -> dict:
+    """Views of the best acceptable record per film among given pairs of both.
+
+    Columns of the pairs: film_key, query, year, id, media_type, title, original,
+    candidate_year and popularity; both titles as they stand.
+    """
+    own, other = f"{out}_pairs", f"{out}_scores"
+    literals = f"list_distinct([{norm('title')}, {norm('original')}])"
+    forms = f"list_distinct(flatten(list_transform(list_filter({literals}, lambda t: t <> ''), lambda t: {variants('t')})))"
+    marks = f"list_transform(forms, lambda f: coalesce({marker('f')}, ''))"
+    return {
+        own: (
+            f"""select *, list_contains(literals, query) as lit, len(list_intersect(query_forms, forms)) > 0 as same
+                from (select *, abs(candidate_year - year) as delta, {literals} as literals, {forms} as forms,
+                             {variants('query')} as query_forms from {pairs})
+                where delta <= 2 and list_contains({marks}, coalesce({marker('query')}, ''))""",
+            (pairs,),
+        ),
+        other: (
+            f"""select l, r, max(case when a = [] or b = [] then 0 else 200.0::double * {_lcs('a', 'b')} / (len(a) + len(b)) end) as s
+                from (select l, r, list_transform(string_split(x, ''), lambda c: unicode(c)) as a,
+                             list_transform(string_split(y, ''), lambda c: [unicode(c)]) as b
+                      from (with texts as (select distinct l, unnest(forms) as r from (select forms, unnest(query_forms) as l from {own}))
+                            select l, r, l as x, r as y from texts
+                            union all select l, r, {_SORTED.format('l')}, {_SORTED.format('r')} from texts))
+                group by l, r""",
+            (own,),
+        ),
+        out: (
+            f"""select film_key, id as tmdb_id, media_type, coalesce(nullif(title, ''), original, '') as tmdb_title,
+                       candidate_year as tmdb_year, ['medium', 'high', 'exact'][tier] as confidence, score as title_score,
+                       delta as year_delta
+                from (select *, case when delta <= 1 and same then 3 when delta <= 1 and score >= 90 then 2 when score >= 85 then 1 end as tier
+                      from (select film_key, id, media_type, title, original, candidate_year, delta, same, lit, popularity, max(s) as score
+                            from (select *, unnest(forms) as r from (select *, unnest(query_forms) as l from {own}))
+                            join {other} using (l, r) group by all))
+                where tier is not null
+                qualify row_number() over (partition by film_key order by tier desc, media_type = 'movie' desc, lit desc, score desc,
+                                                    popularity desc, id) = 1""",
+            (own, other),
+        ),
+    }
+
+
+_RECORD = """f.tmdb_id as id, f.media_type, f.original_title as original, f.year as candidate_year, f.popularity"""
+_HITS = {
+    **_ASKED,
+    "hit_list": (
+        f"""select a.film_key, {norm("a.title")} as query, a.year, {_RECORD}, f.title
+            from (select distinct l_partkey, l_suppkey from lineitem) x join films f on f.tmdb_id = x.l_suppkey
+            join asked a on a.film_key = 's' || x.l_partkey
+            union all
+            select a.film_key, {norm("a.title")}, a.year, {_RECORD},
+                   case f.media_type when 'tv' then replace(f.title, 'e', '') else 'The ' || f.title end
+            from films f join asked a on a.film_key = 's' || f.tmdb_id""",
+        ("films", "asked"),
+    ),
+    **_tiers_sql("hit_list", "chosen"),
+}
+
+
+@query(
+    "resolve_candidates",
+    statement("select * replace (round(title_score, 6) as title_score) from chosen", "chosen", extra=_HITS),
+)
 def resolve_candidates(t):
     return resolution.resolve_candidates(_search_hits(t)).withColumn(
         "title_score", F.round("title_score", 6)
@@ -1115,11 +1184,6 @@ def _exact_sql(catalogue: str) -> str:
            on b.film_key = q.film_key"""
 
 
-_ASKED = {
-    "asked": (f"select 's' || p_partkey as film_key, {_QUERY_TITLE} as title, {_QUERY_YEAR} as year from part", ()),
-}
-
-
 @query("resolve_exact", statement(_exact_sql("catalogue"), "catalogue", "asked", extra=_ASKED))
 def resolve_exact(t):
     return resolution.resolve_exact(_asked_films(t), t.catalogue())
@@ -1222,6 +1286,73 @@ def resolve_batch(t):
     )
 
 
+_TYPO = """case p_type when 'ECONOMY' then 'The ' || p_name || ' ' || p_brand
+    when 'MEDIUM' then replace(p_name, 'e', '') || ' ' || p_brand
+    when 'STANDARD' then split_part(p_name, ' ', 2) || 's ' || split_part(p_name, ' ', 1) || ' ' || p_brand
+    when 'PROMO' then replace(p_name, 'l', 'll') || ' - ' || p_brand
+    else p_name || ' ' || p_brand end"""
+_TYPO_YEAR = "case when p_size = 7 then null when p_type in ('LARGE', 'PROMO') then p_size + 1952 else p_size + 1951 end"
+_FUZZY = {
+    "typos": (f"select 's' || p_partkey as film_key, {_TYPO} as title, {_TYPO_YEAR} as year from part", ()),
+    "all_hits": (
+        f"""select a.film_key, {norm("a.title")} as query, a.year, {_RECORD}, f.title
+            from typos a join films f on abs(f.year - a.year) <= 2""",
+        ("films", "typos"),
+    ),
+    **_tiers_sql("all_hits", "fuzzy"),
+    "fixes": _BATCH["fixes"],
+}
+
+
+def _misspelt_films(t):
+    return t.raw("part").select(
+        F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("film_key"),
+        F.expr(_TYPO).alias("title"),
+        F.expr(_TYPO_YEAR).alias("year"),
+    )
+
+
+@query(
+    "resolve_fuzzy",
+    statement("select * replace (round(title_score, 6) as title_score) from fuzzy", "fuzzy", extra=_FUZZY),
+)
+def resolve_fuzzy(t):
+    """Misspelt titles against every film and series; the SQL scores all pairs of near years."""
+    return retrieval.resolve_catalogue(_misspelt_films(t), t.films()).withColumn(
+        "title_score", F.round("title_score", 6)
+    )
+
+
+@query(
+    "resolve_batch_fuzzy",
+    statement(
+        """select a.film_key, a.title, a.year,
+                  case when o.film_key is not null then o.tmdb_id else h.tmdb_id end as tmdb_id,
+                  case when o.film_key is null then h.media_type when o.tmdb_id is not null then o.media_type end as media_type,
+                  case when o.film_key is null then coalesce(h.tmdb_title, '') else '' end as tmdb_title,
+                  case when o.film_key is null then h.tmdb_year end as tmdb_year,
+                  case when o.film_key is null then coalesce(h.confidence, 'unresolved')
+                       when o.tmdb_id is not null then 'override' else 'unresolved' end as confidence,
+                  case when o.film_key is null then round(coalesce(h.title_score, 0.0::double), 6) end as title_score,
+                  case when o.film_key is null then h.year_delta end as year_delta,
+                  case when o.film_key is not null then 'override' else 'auto' end as source
+           from typos a left join fixes o using (film_key) left join fuzzy h on h.film_key = a.film_key""",
+        "typos",
+        "fixes",
+        "fuzzy",
+        extra=_FUZZY,
+    ),
+)
+def resolve_batch_fuzzy(t):
+    """The film map with all tiers over the whole catalogue."""
+    asked = _misspelt_films(t)
+    fixes = resolution.latest_overrides(t.overrides()).withColumn(
+        "film_key", F.concat(F.lit("s"), "film_key")
+    )
+    film_map = resolution.resolve_batch(asked, fixes, retrieval.resolve_catalogue(asked, t.films()))
+    return film_map.withColumn("title_score", F.round("title_score", 6))
+
+
 @query(
     "review_queue",
     statement(
