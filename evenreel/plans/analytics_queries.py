@@ -469,6 +469,42 @@ def model_biased_mf(t):
     return _scored(t, models.BiasedMF(n_factors=64, iterations=4))
 
 
+@query(
+    "mf_fold_gradient",
+    statement(
+        """select c.userId, round(any_value(bu10), 6) as bu, count(k.movieId) as known, count(k.movieId) >= 3 as folded,
+                  case when count(k.movieId) >= 3 then 0.0::double end as gradient
+           from g_cases c join g_hist h on h.n_given = c.n_given and h.userId = c.userId
+           left join (select movieId from g_train group by 1 having count(*) >= 20) k on k.movieId = c.movieId
+           where c.n_given = 10 and c.given group by 1""",
+        "g_cases",
+        "g_hist",
+        "g_train",
+        extra=_GENERAL_SPLIT,
+    ),
+)
+def mf_fold_gradient(t):
+    """Every history's latent vector solves its own ridge: no slope of the penalised error is left."""
+    model = models.BiasedMF(n_factors=64, iterations=4).fit(_general_train(t))
+    given, _ = _one_size(t)
+    by = ["n_given", "userId"]
+    history = given.join(model.fold_in(given, by), by).join(model.items, "movieId", "left")
+    error = (
+        F.col("rating") - model.mean - F.coalesce("bias", F.lit(0.0)) - F.col("bu")
+        - dot("factor", "taste", model.width)
+    )
+    slopes = [
+        F.abs(F.sum(F.col("error") * F.col("factor")[i]) - model.reg * F.any_value(F.col("taste")[i]))
+        for i in range(model.width)
+    ]
+    return history.withColumn("error", error).groupBy("userId").agg(
+        F.round(F.any_value("bu"), 6).alias("bu"),
+        F.count("factor").alias("known"),
+        F.any_value(F.col("taste").isNotNull()).alias("folded"),
+        F.round(F.greatest(*slopes), 6).alias("gradient"),
+    )
+
+
 # -- the content tower -----------------------------------------------------------------
 
 _D = 64

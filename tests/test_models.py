@@ -164,7 +164,9 @@ def test_biased_mf_folds_histories_in(ratings, cases, truth):
         assert np.allclose(part.score, want)
 
 
-def test_a_history_of_any_length_folds_in_by_sums(spark):
+@pytest.mark.parametrize("long", [models.LONG_HISTORY, 1_000_000, 2])
+def test_a_history_of_any_length_folds_in_by_sums(spark, monkeypatch, long):
+    monkeypatch.setattr(models, "LONG_HISTORY", long)
     rng = np.random.default_rng(5)
     rows = [(u, i, float(rng.integers(1, 11)) / 2) for u in range(12) for i in range(30) if rng.random() < 0.7 or u == 0]
     ratings = spark.createDataFrame(rows, "userId long, movieId long, rating double")
