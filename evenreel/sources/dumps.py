@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from evenreel.functions.numeric import ten_point
 from evenreel.functions.text import finite_number, json_list
 from evenreel.operators.ordering import first_per_key
-from evenreel.sources.files import text_schema
+from evenreel.sources.files import quoted_records
 
 #: No cell ever equals this, so no cell is read as null: "null" and "nan" are slugs.
 NEVER = "\u0000\u0000"
 
 CORRUPT = "_corrupt"
+#: Where a row begins: file, byte range, line.
+PLACE = "_place"
 
 
 def read_crowd_ratings(
@@ -41,20 +43,17 @@ def read_ragged(
     """A film table whose truncated rows are flagged, not guessed at.
 
     Rows with fewer or more fields than ``columns`` keep their text in
-    ``_corrupt``; `intact` drops them and `scan_counts` counts them.
+    ``_corrupt``; `intact` drops them and `scan_counts` counts them. Line breaks
+    inside quotes belong to the row, and a large file is read by many tasks all the
+    same. ``_place`` orders the rows as the files have them.
     """
-    schema = text_schema([*columns, CORRUPT])
-    return spark.read.csv(
-        path,
-        header=header,
-        schema=schema,
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=CORRUPT,
-        multiLine=True,
-        escape='"',
-        nullValue=NEVER,
-        emptyValue="",
-    )
+    schema = ", ".join(f"`{c}` string" for c in (*columns, CORRUPT))
+    options = {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+        "escape": '"', "nullValue": NEVER, "emptyValue": "",
+    }
+    records = quoted_records(spark.read.text(path), header=header)
+    return records.select(F.from_csv("record", schema, options).alias("r"), PLACE).select("r.*", PLACE)
 
 
 def intact(ragged: DataFrame) -> DataFrame:
@@ -71,6 +70,11 @@ def scan_counts(ragged: DataFrame, usable: Column | None = None) -> DataFrame:
     return ragged.groupBy(part.alias("part")).agg(F.count(ragged.columns[0]).alias("n"))
 
 
+def _order(table: DataFrame) -> Column:
+    """File order: the place of a scanned row, else the order in which rows come."""
+    return F.col(PLACE) if PLACE in table.columns else F.monotonically_increasing_id()
+
+
 def dump_films(
     table: DataFrame, *, slug: str, title: str, year: str, tmdb_id: str | None = None
 ) -> DataFrame:
@@ -81,7 +85,7 @@ def dump_films(
         linked.alias("tmdb_id"),
         F.col(title).alias("title"),
         finite_number(F.col(year)).cast("int").alias("year"),
-        F.monotonically_increasing_id().alias("_line"),
+        _order(table).alias("_line"),
     )
     return first_per_key(frame, ["slug"], [F.col("_line")]).drop("_line")
 
@@ -98,7 +102,7 @@ def dump_catalogue(table: DataFrame, line: str | None = None) -> DataFrame:
     unknown.
     """
     blank = lambda name: F.when(F.trim(F.col(name)) != "", F.trim(F.col(name)))
-    order = F.col(line) if line else F.monotonically_increasing_id()
+    order = F.col(line) if line else _order(table)
     frame = table.where(names_a_film()).select(
         finite_number(F.col("tmdb_id")).cast("long").alias("tmdb_id"),
         blank("imdb_id").alias("imdb_id"),
