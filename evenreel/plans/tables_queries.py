@@ -1240,6 +1240,33 @@ def overrides_fresh(t):
     return resolution.fresh_overrides(reviewed, recorded)
 
 
+@query(
+    "overrides_append",
+    statement(
+        """select film_key, tmdb_id, media_type from latest_overrides
+           union all
+           select (c_custkey * 2)::varchar, case when c_custkey % 3 > 0 then c_custkey end, 'tv' from customer
+           where c_custkey * 2 not in (select o_custkey from orders)""",
+        "latest_overrides",
+    ),
+)
+def overrides_append(t):
+    """A review written behind the recorded overrides, and written again to no effect."""
+    path = scratch_path(t.spark, "overrides")
+    t.overrides().write.parquet(path)
+    customer = F.col("c_custkey")
+    review = t.raw("customer").select(
+        (customer * 2).cast("string").alias("film_key"),
+        F.when(customer % 3 > 0, customer.cast("string")).otherwise("").alias("tmdb_id"),
+        F.lit("tv").alias("media_type"),
+        F.col("c_name").alias("title"),
+        F.lit("seen").alias("note"),
+    )
+    for _ in range(2):
+        recorded = store.append_overrides(resolution.reviewed_rows(review), path)
+    return resolution.latest_overrides(recorded)
+
+
 _BATCH = {
     **_ASKED,
     "film_hits": (_exact_sql("catalogue"), ("catalogue", "asked")),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenreel.operators.ordering import first_per_key
+from evenreel.operators.resolution import fresh_overrides
+from evenreel.sources.files import path_exists
 
 
 def pending_ids(wanted: DataFrame, stored: DataFrame) -> DataFrame:
@@ -87,3 +89,23 @@ def write_result(frame: DataFrame, path: str, *, fmt: str = "parquet") -> None:
         writer.option("header", True).csv(path)
     else:
         writer.parquet(path)
+
+
+def append_overrides(reviewed: DataFrame, path: str) -> DataFrame:
+    """Write the rows whose film is not recorded yet behind the overrides at ``path``.
+
+    Rows of one call share a sequence number above all earlier ones. A repeated call
+    adds nothing. Returns the whole table, of which ``latest_overrides`` takes the
+    last row per film.
+    """
+    spark = reviewed.sparkSession
+    rows = reviewed.select("film_key", "tmdb_id", "media_type")
+    if path_exists(spark, path):
+        recorded = spark.read.parquet(path)
+        last = recorded.agg(F.max("seq")).first()[0]
+        rows = fresh_overrides(rows, recorded.select(F.trim("film_key").alias("film_key")).distinct())
+    else:
+        last = None
+    number = F.lit(0 if last is None else last + 1).cast("long")
+    rows.withColumn("seq", number).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

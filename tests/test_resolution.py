@@ -79,6 +79,17 @@ def test_reviewed_rows_need_an_id_or_a_note(spark):
     assert resolution.fresh_overrides(kept, spark.createDataFrame([("a",)], "film_key string")).count() == 1
 
 
+def test_overrides_are_appended_once(spark, tmp_path):
+    columns, path = "film_key string, tmdb_id string, media_type string", f"file://{tmp_path}/overrides"
+    first = spark.createDataFrame([("a", "1", "movie"), ("b", "", "tv")], columns)
+    assert store.append_overrides(first, path).count() == 2
+    again = spark.createDataFrame([("a", "7", "movie"), ("c", "3", "tv")], columns)
+    for _ in range(2):
+        table = store.append_overrides(again, path)
+    assert sorted(map(tuple, table.select("film_key", "tmdb_id", "seq").collect())) == [("a", "1", 0), ("b", "", 0), ("c", "3", 1)]
+    assert store.append_overrides(again.where("false"), path).count() == 3
+
+
 def test_movie_payload(spark):
     movie = {
         "id": 5, "title": "T", "original_title": "O", "release_date": "1999-03-01", "runtime": 100, "imdb_id": "tt0000005",
