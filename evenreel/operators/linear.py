@@ -2,7 +2,7 @@
 
 Rows never travel to the driver. Tasks fold their rows into d x d sums, the
 sums are folded again in as many slots as the square root of the cores, and the driver solves one
-small system. ``MAX_DIM`` keeps that system small.
+small system. ``MAX_DIM`` keeps that system small; `operators.wide` fits wider rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenreel.operators.vectors import dimension
-from evenreel.session import written
+from evenreel.session import laid_out, written
 
 MAX_DIM = 1024
 # cells of a block of a sparse matrix
@@ -81,7 +81,7 @@ class Moments:
 
 def moments(frame: DataFrame, vector: str, target: str, d: int) -> Moments:
     if d > MAX_DIM:
-        raise ValueError(f"{d} dimensions; reduce to {MAX_DIM} before fitting a linear model")
+        raise ValueError(f"{d} dimensions; above {MAX_DIM} fit sparse cells with operators.wide")
 
     def partial(batch: pd.DataFrame) -> np.ndarray:
         x = np.vstack(batch[vector].to_numpy()).astype("float64")
@@ -193,9 +193,10 @@ class RowBlocks:
     """A sparse matrix (row, col, value) cut into blocks of whole rows.
 
     A block holds about ``BLOCK_CELLS`` cells, more only if one row alone has
-    more, and it asks once for each column vector that its cells need. What moves
-    is one vector per (block, column), not one per cell. Rows are whole, so A V
-    and A'(A V) are formed where the block lies, and only sums per column leave it.
+    more, and it asks once for each column vector that its cells need. The blocks
+    are laid out once and read in place by every pass: what moves is one vector
+    per (block, column), never a cell. Rows are whole, so A V and A'(A V) are
+    formed where the block lies, and only sums per column leave it.
     Cells without a column count as absent; rows without an id are one row.
     """
 
@@ -209,7 +210,7 @@ class RowBlocks:
         ).first()
         self.n_cols, self.energy = int(stats["cols"]), float(stats["energy"] or 0.0)
         blocks = max(1, -(-int(stats["n"]) // BLOCK_CELLS))
-        self.cells = cells.withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+        self.cells = laid_out(cells.withColumn("_block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "_block")
         self.columns = cells.select("col").distinct()
         self.needed = written(self.cells.select("_block", "col").distinct(), "block-columns")
 
@@ -218,6 +219,20 @@ class RowBlocks:
         side = self.needed.join(vectors, "col")
         return self.cells.groupBy("_block").cogroup(side.groupBy("_block")).applyInArrow(work, schema)
 
+    def image(self, vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
+        """A'(A V) for V the column vectors times a small matrix: (col, vec)."""
+        n, d = matrix.shape
+        kind = self.cells.schema["col"].dataType.simpleString()
+
+        def work(part: pa.Table, side: pa.Table) -> pa.Table:
+            if not part.num_rows or not side.num_rows:
+                return pa.table({"col": side["col"].slice(0, 0), "vec": pa.array([], pa.list_(pa.float64()))})
+            return pa.table({"col": side["col"], "vec": _lists(_image(part, side, _dense(side["vec"], n) @ matrix))})
+
+        shares = self.apply(vectors, work, f"col {kind}, vec array<double>")
+        sums = F.expr("array(" + ", ".join(f"sum(vec[{i}])" for i in range(d)) + ")")
+        return shares.groupBy("col").agg(sums.alias("vec"))
+
 
 def _dense(lists: pa.ChunkedArray, d: int) -> np.ndarray:
     return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
@@ -269,18 +284,6 @@ def truncated_svd(
         return Decomposition(blocks.columns.withColumn("vec", flat), np.zeros(k), 0.0)
     kind = blocks.cells.schema["col"].dataType.simpleString()
 
-    def image(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
-        n, d = matrix.shape
-
-        def work(part: pa.Table, side: pa.Table) -> pa.Table:
-            if not part.num_rows or not side.num_rows:
-                return pa.table({"col": side["col"].slice(0, 0), "vec": pa.array([], pa.list_(pa.float64()))})
-            return pa.table({"col": side["col"], "vec": _lists(_image(part, side, _dense(side["vec"], n) @ matrix))})
-
-        shares = blocks.apply(vectors, work, f"col {kind}, vec array<double>")
-        sums = F.expr("array(" + ", ".join(f"sum(vec[{i}])" for i in range(d)) + ")")
-        return written(shares.groupBy("col").agg(sums.alias("vec")), "vectors")
-
     def gram(vectors: DataFrame, matrix: np.ndarray) -> np.ndarray:
         """(A V)'(A V), which is the sum of V'A'(A V) over the blocks."""
         n, d = matrix.shape
@@ -299,7 +302,7 @@ def truncated_svd(
     vectors = blocks.columns.withColumn("vec", F.expr(f"transform(sequence(0, {width - 1}), i -> {digits})"))
     matrix = np.eye(width)
     for _ in range(iterations):
-        vectors = image(vectors, matrix)
+        vectors = written(blocks.image(vectors, matrix), "vectors")
         matrix = _whitening(self_gram(vectors, matrix.shape[1]))
     values, rotation = np.linalg.eigh(gram(vectors, matrix))
     order = np.argsort(values)[::-1][:k]

@@ -1855,6 +1855,37 @@ def film_ridge_slopes(t):
     return whole.select("term", (F.round("gradient", 6) + 0.0).alias("gradient"))
 
 
+@query("film_ridge_wide")
+def film_ridge_wide(t):
+    """Every film of the catalogue by ridge on all words of all eight blocks, popularity held."""
+    fitted = metadata.WideFilmRidge(debias=True).fit(_film_ratings(t))
+    films = t.catalogue().withColumn("row", F.col("tmdb_id"))
+    return fitted.predict(films).select("tmdb_id", *r6("predicted"))
+
+
+@query(
+    "film_ridge_wide_slopes",
+    statement(
+        """select distinct term, 0.0::double as gradient from film_cells where f = 0 and fold <> 0
+           union all select 'intercept', 0.0::double""",
+        "film_cells",
+        extra=_FILM_MATRIX,
+    ),
+)
+def film_ridge_wide_slopes(t):
+    """The slope of the penalised error at each weight of one fold's wide fit, from the films' cells."""
+    train = written(personal.folds(_film_ratings(t), 5).where("fold <> 0").drop("fold"), "train")
+    model = metadata.WideFilmRidge(_NAMED_BLOCKS).fit(train)
+    s = model.solution
+    errors = model.predict(train).select("tmdb_id", (F.col("rating") - F.col("predicted")).alias("error"))
+    pulls = s.weights.select("col", (F.col("weight") * s.alpha).alias("pull"))
+    cells = model.cells(train).withColumnRenamed("row", "tmdb_id")
+    sums = cells.join(errors, "tmdb_id").groupBy("col").agg(F.sum(F.col("value") * F.col("error")).alias("g"))
+    slopes = sums.join(pulls, "col").select(F.col("col").alias("term"), (F.col("g") - F.col("pull")).alias("gradient"))
+    whole = slopes.unionByName(errors.select(F.lit("intercept").alias("term"), "error").groupBy("term").agg(F.sum("error").alias("gradient")))
+    return whole.select("term", (F.round("gradient", 6) + 0.0).alias("gradient"))
+
+
 @query("film_recommend")
 def film_recommend(t):
     """Unseen films by debiased ridge on their metadata, ranked in all three ways."""
