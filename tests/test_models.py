@@ -212,12 +212,12 @@ def test_ridge_strength_is_chosen_by_leave_one_out(library):
     assert np.allclose(fit.weights, np.linalg.solve(c.T @ c + fit.alpha * np.eye(6), c.T @ (y - y.mean())))
 
 
-@pytest.mark.parametrize(("block_bytes", "slab_rows"), [(64 << 20, 1 << 15), (1500, 16)])
-def test_knn_is_exact_in_one_block_and_in_many(library, block_bytes, slab_rows):
+@pytest.mark.parametrize(("block_bytes", "slab_rows", "clusters"), [(64 << 20, 1 << 15, None), (1500, 16, None), (1500, 16, 1), (64 << 20, 16, 5)])
+def test_knn_is_exact_in_one_block_and_in_many(library, block_bytes, slab_rows, clusters):
     frame, table = library
     train, test = table.where("row < 90"), table.where("row >= 80")
-    model = personal.ContentKNN(neighbours=7, block_bytes=block_bytes, slab_rows=slab_rows).fit(train)
-    assert (model.blocks == 1) == (block_bytes > 10_000)
+    model = personal.ContentKNN(neighbours=7, block_bytes=block_bytes, slab_rows=slab_rows, clusters=clusters).fit(train)
+    assert len(model.index.centres) == {None: 1 if block_bytes > 10_000 else 9}.get(clusters, clusters)
     got = model.predict(test).toPandas().set_index("row")["predicted"]
     x = np.vstack(frame.vec)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
