@@ -172,3 +172,12 @@ def curriculum(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     order = [F.col("position"), F.col("source"), F.col("doc_id")]
     spread = copies.repartitionByRange(partitions, *order) if partitions else copies.repartitionByRange(*order)
     return spread.sortWithinPartitions(*order)
+
+
+def documents_in_order(mixed: DataFrame) -> DataFrame:
+    """One row per document, range-sorted by the training position of its first copy; those never taken stand last.
+
+    Equal positions follow source and id, nulls first.
+    """
+    order = [F.get("positions", F.lit(0)).asc_nulls_last(), F.col("source").asc(), F.col("doc_id").asc()]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -73,8 +73,10 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "copies", F.get("positions", F.lit(0)).alias("position")
+    # no source is taken more than twice, so no document has a third copy
+    return mixing.documents_in_order(mixing.mix(table(spark, folder, "documents"))).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies",
+        F.get("positions", F.lit(0)).alias("position"), F.get("positions", F.lit(1)).alias("second_position"),
     )
 
 
@@ -126,6 +128,13 @@ def _put_out(path: str, role: str) -> str:
     return f"CASE WHEN stays THEN {_step(path, f'more + (first <> {role!r})::INTEGER', kept)} END"
 
 
+def _trained_at(copy: int) -> str:
+    """Time at which a copy's first word is due."""
+    start = f"starts[{copy}] / target"
+    return f"""CASE WHEN len(starts) < {copy} THEN NULL WHEN a = b THEN {start}
+    ELSE least(1::DOUBLE, greatest(0::DOUBLE, (sqrt(greatest(0::DOUBLE, a * a + (b - a) * ({start} * (a + b) / 2) * 2)) - a) / (b - a))) END"""
+
+
 SQL: dict[str, str] = {
     "op2_exact_topk": """
 WITH v AS (
@@ -153,7 +162,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (3 + sum(marks + length(shown)))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id""",
-    "op9_mixing": r"""
+    "op9_mixing": rf"""
 WITH rows_ AS (
   SELECT doc_id, source, md5(doc_id::VARCHAR) AS tie,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
@@ -184,9 +193,7 @@ WITH rows_ AS (
 SELECT doc_id, size, source_size, target,
   coalesce(list_sum(list_transform(starts, lambda c: least(size, wanted - c))), 0)::BIGINT AS taken,
   len(starts)::INTEGER AS copies,
-  CASE WHEN len(starts) = 0 THEN NULL WHEN a = b THEN starts[1] / target
-    ELSE least(1::DOUBLE, greatest(0::DOUBLE,
-      (sqrt(greatest(0::DOUBLE, a * a + (b - a) * (starts[1] / target * (a + b) / 2) * 2)) - a) / (b - a))) END AS position
+  {_trained_at(1)} AS position, {_trained_at(2)} AS second_position
 FROM epochs""",
     # insertions never pay: deleting the row's neighbour instead is cheaper
     "op11_conversation_repair": rf"""

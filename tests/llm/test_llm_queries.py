@@ -35,6 +35,15 @@ def test_query_matches_its_sql(spark, name):
     assert want and sorted(names) == sorted(frame.columns)
 
 
+def test_documents_come_in_training_order(spark):
+    rows = queries.op9_mixing(spark, FOLDER).collect()
+    times = [r["position"] for r in rows]
+    known = [t for t in times if t is not None]
+    assert known == sorted(known) and all(t is None for t in times[len(known):])
+    assert all((r["position"] is None) == (r["copies"] == 0) and (r["second_position"] is None) == (r["copies"] < 2) for r in rows)
+    assert all(r["second_position"] > r["position"] for r in rows if r["copies"] == 2) and max(r["copies"] for r in rows) == 2
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)

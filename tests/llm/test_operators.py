@@ -477,7 +477,11 @@ def test_mixing(spark, docs, empty):
         assert taken[source] == int(target) and target <= 2 * size
     assert sum(t for _, t in by.values()) == pytest.approx(1.5 * sum(s for s, _ in by.values()))
     assert sorted(map(str, mixing.mix(docs.repartition(5)).collect())) == sorted(map(str, rows))
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.documents_in_order(mixing.mix(empty)).count() == 0
+    in_order = mixing.documents_in_order(mixing.mix(docs)).collect()
+    assert sorted(map(str, in_order)) == sorted(map(str, rows))
+    first = [r["positions"][0] if r["positions"] else 2.0 for r in in_order]
+    assert first == sorted(first)
     ordered = [r["position"] for r in mixing.curriculum(mixing.mix(docs, carry=True)).collect()]
     assert ordered == sorted(ordered) and len(ordered) == sum(r["copies"] for r in rows)
 
