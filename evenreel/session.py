@@ -101,14 +101,15 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(DROP_SHUFFLES, before)
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
+def written(frame: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write a table once into the shared folder and read it back.
 
     For tables several later jobs read: unlike a cache it survives the loss of
-    an executor without being computed again.
+    an executor without being computed again. ``compression`` is the session's
+    by default.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, label)
     with dropping_shuffles(spark):
-        frame.write.parquet(path)
+        frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
