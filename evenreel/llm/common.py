@@ -82,10 +82,11 @@ def unpacked(frame: DataFrame, row: str, names: list[str]) -> DataFrame:
     return frame.select(*[F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def bucketed_bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def bucketed_bodies(docs: DataFrame, doc_id: str, text: str, compression: str | None = None) -> DataFrame:
     """``uid, doc_id, body``: the texts as bytes, written in buckets of a row id, so joins on it move no text.
 
     The bucketing is known to the plan alone: the catalog keeps no entry.
+    ``compression`` is the session's by default.
     """
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -95,7 +96,8 @@ def bucketed_bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     path = scratch_path(spark, "bodies")
     name = "evenreel_" + path.rsplit("-", 1)[-1]
     with dropping_shuffles(spark):
-        rows.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid").option("path", path).saveAsTable(name)
+        writer = rows.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid").option("path", path)
+        (writer.option("compression", compression) if compression else writer).saveAsTable(name)
     bodies = spark.table(name)
     bodies.schema  # resolved before the entry goes; the files stay
     spark.sql(f"DROP TABLE {name}")

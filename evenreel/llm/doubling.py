@@ -40,6 +40,8 @@ LENGTH = 50
 SHORTEST = 16
 #: Words whose seeds are found in one sweep.
 SWEEP = 1 << 17
+#: Of the tables written between the steps, which lie on disk all at once.
+COMPRESSION = "zstd"
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 1 << 20
 
@@ -235,11 +237,11 @@ def repeated_windows(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
     short, *further = levels(length)
     schema = f"uid long, doc_id {kind}, {_RUN}"
     types = arrow_types(schema)
-    runs = written(bodies.select("uid", "doc_id", "body").mapInArrow(lambda b: _scan(b, types, length), schema), "runs")
+    runs = written(bodies.select("uid", "doc_id", "body").mapInArrow(lambda b: _scan(b, types, length), schema), "runs", COMPRESSION)
     context = ["c1", "c2"]
     # the smallest id, null last, of each context; counted before it is shuffled
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "first", "last", "place")).alias("one")
-    distinct = written(runs.groupBy("seed", *context).agg(F.count(F.lit(1)).alias("n"), one), "contexts")
+    distinct = written(runs.groupBy("seed", *context).agg(F.count(F.lit(1)).alias("n"), one), "contexts", COMPRESSION)
     shared = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("seed")
     left = distinct.join(shared, "seed", "left_semi").select(
         *context, "one.uid", "one.first", "one.place", F.col("one.first").alias("low"), F.col("one.last").alias("high")
@@ -251,7 +253,7 @@ def repeated_windows(bodies: DataFrame, length: int = LENGTH) -> DataFrame:
             F.collect_list(F.struct("c1", "c2", "first", "place", "low", "high")).alias("open")
         )
         texts = asked.join(bodies, "uid").select("uid", "doc_id", "body", "open")
-        rows = written(texts.mapInArrow(lambda b, n=lengths: _extend(b, made, n), schema), "level")
+        rows = written(texts.mapInArrow(lambda b, n=lengths: _extend(b, made, n), schema), "level", COMPRESSION)
         ids = F.col("doc_id")
         seen = rows.groupBy("w1", "w2").agg(
             F.min(ids).alias("least"), F.max(ids).alias("most"), F.count_if(ids.isNull()).alias("nameless")
@@ -300,7 +302,7 @@ def drop_passages(
     id stands behind all others; an empty table gives an empty one; other
     columns are not read.
     """
-    bodies = bucketed_bodies(docs, doc_id, text)
+    bodies = bucketed_bodies(docs, doc_id, text, COMPRESSION)
     kind = bodies.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, n_kept long" + ", kept string" * keep_text
     types = arrow_types(schema)
