@@ -69,5 +69,5 @@ def test_boosted_trees_run_at_the_operators_default(monkeypatch):
     from evenreel.plans import analytics_queries
 
     monkeypatch.setattr(analytics_queries, "_out_of_fold", lambda t, model: model)
-    assert analytics_queries.model_gbt(None).params == personal.GradientBoosted().params
-    assert personal.GradientBoosted().params["maxIter"] == 400
+    assert analytics_queries.model_gbt(None).settings == personal.GradientBoosted().settings
+    assert personal.GradientBoosted().settings.trees == 400
