@@ -1217,6 +1217,84 @@ def frontier(t):
     )
 
 
+_SWEPT = (0.0, 0.25, 0.5, 0.75, 1.0)
+_SWEPT_NAMES = ", ".join(f"({w}::double, 'tower_borrowed{'' if w == 1 else f'_b{w:g}'}')" for w in _SWEPT)
+_SWEEP = {
+    **_COLD_EVAL,
+    "c_lent": (
+        """select movieId, coalesce(t_ib.bias, t_line.intercept + t_line.slope * lent, 0.0::double) as c
+           from t_ib full join t_lent using (movieId), t_line""",
+        ("t_ib", "t_lent", "t_line"),
+    ),
+    "c_pred": (
+        f"""select model, n_given, userId, movieId, rating, cold, {_clip('s')} as predicted, round({_clip('s')}, 9) as ranked
+            from (select t_score.*, model, score + (w - 1) * coalesce(c, 0) as s
+                  from t_score left join c_lent using (movieId), (values {_SWEPT_NAMES}) as sweep(w, model))""",
+        ("t_score", "c_lent"),
+    ),
+}
+
+
+@query(
+    "frontier_sweep",
+    statement(
+        """select model, n_given, users, round(rmse, 6) as rmse, round(rho, 6) as spearman, round(ts, 6) as tail_share,
+                  round(deserved, 6) as deserved, round(ts / deserved, 6) as fairness, fair,
+                  fair and row_number() over (partition by n_given, fair order by round(rho, 9) desc, model) = 1 as best
+           from (select *, round(ts / deserved, 9) >= 0.9 as fair from (
+             select model, n_given, count(distinct userId) as users, avg(rmse) as rmse, avg(spearman) as rho, avg(tail_share) as ts,
+                    avg(tail_share_actual) as deserved from c_metrics group by 1, 2))""",
+        "c_metrics",
+        extra=_SWEEP,
+    ),
+)
+def frontier_sweep(t):
+    """From ranking by the crowd to ranking by taste alone: accuracy against fairness on hidden films."""
+    ratings, vectors = t.crowd_a(), t.vectors()
+    lent = _lent(t, _test_users(t))
+    towers = [
+        models.ContentTower(
+            vectors, item_bias=models.BORROWED, borrowed=lent, bias_weight=w, learn_weights=False, learn_bias=False
+        )
+        for w in _SWEPT
+    ]
+    per_user = written(
+        protocol.evaluate_cold(towers, ratings, _test_users(t), protocol.cold_items(ratings), HISTORY_SIZES), "per-user"
+    )
+    errors = protocol.summarise(per_user).select("model", "n_given", "rmse")
+    return protocol.frontier(per_user).join(errors, ["model", "n_given"]).select(
+        "model", "n_given", "users", *r6("rmse", "spearman", "tail_share", "deserved", "fairness"), "fair", "best"
+    )
+
+
+@query("eval_cold_models")
+def eval_cold_models(t):
+    """Every kind of model on hidden films, at its defaults, in one scoring pass."""
+    ratings, vectors = t.crowd_a(), t.vectors()
+    lent = _lent(t, _test_users(t))
+    towers = {name: models.ContentTower(vectors, item_bias=name) for name in (models.KNOWN, models.NONE, models.PREDICTED)}
+    towers[models.BORROWED] = models.ContentTower(vectors, item_bias=models.BORROWED, borrowed=lent)
+    everyone = [
+        models.BiasModel(),
+        models.BiasedMF(),
+        *towers.values(),
+        models.StratifiedRanker(towers[models.PREDICTED]),
+        models.StratifiedRanker(towers[models.BORROWED]),
+    ]
+    per_user = protocol.evaluate_cold(everyone, ratings, _test_users(t), protocol.cold_items(ratings), HISTORY_SIZES)
+    return per_user.select("model", "n_given", "userId", "n", *r6(*_METRIC_COLUMNS))
+
+
+@query("eval_generalise_models")
+def eval_generalise_models(t):
+    """Baselines, factors and the content tower on whole held-out users."""
+    everyone = [
+        models.UserMean(), models.ItemMean(), models.BiasModel(), models.BiasedMF(), models.ContentTower(t.vectors())
+    ]
+    per_user = protocol.evaluate_generalisation(everyone, t.model_ratings(), _general_users(t), HISTORY_SIZES)
+    return per_user.select("model", "n_given", "userId", "n", *r6("rmse", "mae"))
+
+
 # -- features ------------------------------------------------------------------------------
 
 _FEATURES = {
