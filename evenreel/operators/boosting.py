@@ -7,8 +7,8 @@ picks its best cut, and the driver sees a cut per node and task. Leaves are
 shrunk by an L2 term. The models of a cross-validation grow level by level
 together, so that they share every pass.
 
-Gradients are rounded to a fixed unit. Sums of them are exact, and the trees are
-the same on any layout of the rows.
+Gradients are rounded to a unit that the ratings' spread and the number of rows set.
+Sums of them are exact, and the trees are the same on any layout of the rows.
 """
 
 from __future__ import annotations
@@ -274,7 +274,8 @@ def boosted(rated: DataFrame, folds: int | None, s: TreeSettings) -> list[Forest
     """Forests on (row, rating, vec, and fold where ``folds`` is given).
 
     With folds, forest f is fitted on all rows but those of fold f, cuts of columns
-    included; it is the forest that these rows alone would give. Rows without rating or vector take no part, equal rows count apart, a value
+    included; it is the forest that these rows alone would give, up to the gradients'
+    unit. Rows without rating or vector take no part, equal rows count apart, a value
     that is missing goes to a column's lowest bin. A model without rows has no
     start and no trees.
     """
@@ -287,7 +288,7 @@ def boosted(rated: DataFrame, folds: int | None, s: TreeSettings) -> list[Forest
     )
     models, d = folds or 1, dimension(usable, "vec")
     facts = usable.agg(
-        F.min("rating").alias("low"), F.max("rating").alias("high"),
+        F.count(F.lit(1)).alias("n"), F.min("rating").alias("low"), F.max("rating").alias("high"),
         *[F.avg(F.when(F.col("fold") != m, F.col("rating").cast("decimal(28,9)"))).alias(f"mean{m}") for m in range(models)],
     ).first()
     means = [facts[f"mean{m}"] for m in range(models)]
@@ -297,8 +298,8 @@ def boosted(rated: DataFrame, folds: int | None, s: TreeSettings) -> list[Forest
     spread = 0.0 if facts["low"] is None else facts["high"] - facts["low"]
     if d == 0 or spread == 0.0:
         return forests
-    # sums of 2^29 rows' slopes of twice the spread stay whole in a double; all folds share the unit
-    unit = 2.0 ** (math.ceil(math.log2(spread)) - 22)
+    # as fine as sums of all rows' slopes, of four times the spread at most, stay whole in a double
+    unit = 2.0 ** (math.ceil(math.log2(spread)) + 2 + math.ceil(math.log2(facts["n"])) - 53)
     rows = _Rows(usable, edges, [0.0 if start is None else start for start in starts])
     latest: list[list[Tree]] = [[] for _ in range(models)]
     for tree in range(s.trees):

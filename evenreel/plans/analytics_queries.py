@@ -1696,6 +1696,58 @@ def model_gbt(t):
     return _out_of_fold(t, personal.GradientBoosted())
 
 
+_STUMP = {
+    "st_rows": (
+        """select row, rating, vec::double[] as vec, (row_number() over (order by md5(concat_ws(':', row, '0')), row) - 1) % 4 as fold
+           from labelled""",
+        ("labelled",),
+    ),
+    "st_mean": (
+        "select m, avg(rating) as mu, count(*) as n from st_rows, range(4) t(m) where fold <> m group by m",
+        ("st_rows",),
+    ),
+    "st_long": (
+        f"select m, row, mu - rating as g, n, dim, vec[dim + 1] as v from st_rows join st_mean on fold <> m, range({_D}) d(dim)",
+        ("st_rows", "st_mean"),
+    ),
+    "st_edges": (
+        """select distinct m, dim, v from (
+             select *, row_number() over (partition by m, dim order by v) as r, max(v) over (partition by m, dim) as top from st_long)
+           where v < top and list_contains(list_transform(range(1, 64), lambda i: ceil(i / 64.0::double * n)::bigint), r)""",
+        ("st_long",),
+    ),
+    "st_sums": (
+        """select m, dim, v, n, sum(g) over upto as gl, sum(c) over upto as hl
+           from (select m, dim, v, n, sum(g) as g, count(*) as c from st_long group by all) window upto as (partition by m, dim order by v)""",
+        ("st_long",),
+    ),
+    "st_best": (
+        """select *, -gl / (hl + 2) as below, gl / (n - hl + 2) as above from st_sums join st_edges using (m, dim, v)
+           where hl >= 5 and n - hl >= 5
+           qualify row_number() over (partition by m order by gl * gl / (hl + 2) + gl * gl / (n - hl + 2) desc, dim, v) = 1""",
+        ("st_sums", "st_edges"),
+    ),
+}
+
+
+@query(
+    "model_stump",
+    statement(
+        """select row, rating, round(mu + case when vec[dim + 1] <= v then below else above end, 4) as predicted
+           from st_rows join st_mean on fold = m join st_best using (m)""",
+        "st_rows",
+        "st_mean",
+        "st_best",
+        extra=_STUMP,
+    ),
+)
+def model_stump(t):
+    """The first cut of boosted trees, on all rows and columns, with its two leaves in full."""
+    model = personal.GradientBoosted(trees=1, depth=1, step=1.0, subsample=1.0, columns=1.0)
+    held = crossval.cross_validate([model], t.labelled_vectors(), k=4)
+    return held.select("row", F.col("actual").alias("rating"), F.round("predicted", 4).alias("predicted"))
+
+
 def _factor_table(t):
     factors = models.item_factors(t.model_ratings())
     return factors.select(F.col("movieId").alias("row"), "item_mean", "factors")
