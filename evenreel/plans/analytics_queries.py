@@ -1251,7 +1251,9 @@ _SWEEP = {
 def frontier_sweep(t):
     """From ranking by the crowd to ranking by taste alone: accuracy against fairness on hidden films."""
     ratings, vectors = t.crowd_a(), t.vectors()
-    lent = _lent(t, _test_users(t))
+    # every tower reads them: written, they stay out of each tower's plan
+    test = written(_test_users(t), "test-users")
+    lent = written(_lent(t, test), "lent")
     towers = [
         models.ContentTower(
             vectors, item_bias=models.BORROWED, borrowed=lent, bias_weight=w, learn_weights=False, learn_bias=False
@@ -1259,7 +1261,7 @@ def frontier_sweep(t):
         for w in _SWEPT
     ]
     per_user = written(
-        protocol.evaluate_cold(towers, ratings, _test_users(t), protocol.cold_items(ratings), HISTORY_SIZES), "per-user"
+        protocol.evaluate_cold(towers, ratings, test, protocol.cold_items(ratings), HISTORY_SIZES), "per-user"
     )
     errors = protocol.summarise(per_user).select("model", "n_given", "rmse")
     return protocol.frontier(per_user).join(errors, ["model", "n_given"]).select(
@@ -1271,7 +1273,9 @@ def frontier_sweep(t):
 def eval_cold_models(t):
     """Every kind of model on hidden films, at its defaults, in one scoring pass."""
     ratings, vectors = t.crowd_a(), t.vectors()
-    lent = _lent(t, _test_users(t))
+    # every tower reads them: written, they stay out of each tower's plan
+    test = written(_test_users(t), "test-users")
+    lent = written(_lent(t, test), "lent")
     towers = {name: models.ContentTower(vectors, item_bias=name) for name in (models.KNOWN, models.NONE, models.PREDICTED)}
     towers[models.BORROWED] = models.ContentTower(vectors, item_bias=models.BORROWED, borrowed=lent)
     everyone = [
@@ -1281,7 +1285,7 @@ def eval_cold_models(t):
         models.StratifiedRanker(towers[models.PREDICTED]),
         models.StratifiedRanker(towers[models.BORROWED]),
     ]
-    per_user = protocol.evaluate_cold(everyone, ratings, _test_users(t), protocol.cold_items(ratings), HISTORY_SIZES)
+    per_user = protocol.evaluate_cold(everyone, ratings, test, protocol.cold_items(ratings), HISTORY_SIZES)
     return per_user.select("model", "n_given", "userId", "n", *r6(*_METRIC_COLUMNS))
 
 
