@@ -419,3 +419,30 @@ def test_svd_of_low_rank_and_empty_matrices(spark):
     zero = linear.truncated_svd(one.withColumn("value", F.lit(0.0)), 3)
     assert zero.captured == 0.0 and zero.columns.count() == 5
     assert linear.truncated_svd(one.where("row < 0"), 3).columns.count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 25, 100_000])
+def test_vectors_move_once_per_block_whatever_the_cells(spark, monkeypatch, most):
+    monkeypatch.setattr(linear, "BLOCK_CELLS", most)
+    at = F.pmod(F.xxhash64("id"), F.lit(500))
+    row = F.when(F.col("id") < 150_000, 0).when(F.col("id") % 7 < 6, F.col("id") % 7)  # one long row, one without an id
+    cells = spark.range(300_000).select(row.alias("row"), at.alias("col"), (F.col("id") % 5 - 1.5).alias("value"))
+    blocks = linear.RowBlocks(cells)
+    assert blocks.blocks == -(-300_000 // most)
+    local = cells.groupBy("row", "col").agg(F.sum("value").alias("value")).toPandas()
+    names = [None if np.isnan(r) else int(r) for r in local["row"].drop_duplicates()]
+    dense = np.zeros((len(names), 500))
+    for r, c, v in zip(local["row"], local["col"], local["value"]):
+        dense[names.index(None if np.isnan(r) else int(r)), int(c)] = v
+    v = np.column_stack([np.arange(500) % 7 - 3.0, np.arange(500) % 11 - 5.0, np.ones(500)])
+    vectors = spark.createDataFrame([(i, [float(x) for x in line]) for i, line in enumerate(v)], "col long, vec array<double>")
+    mix = np.array([[1.0, 2.0], [0.0, 1.0], [3.0, 0.0]])
+    moved = blocks._shares(blocks.chunks(vectors), mix).agg(F.sum(F.size("vec"))).first()[0]
+    assert moved <= 2 * 500 * blocks.blocks  # before: again for every 2 ** 18 cells
+    image = {r["col"]: r["vec"] for r in blocks.image(vectors, mix).collect()}
+    assert np.allclose([image[i] for i in range(500)], dense.T @ (dense @ v @ mix))
+    assert np.allclose(blocks.gram(blocks.chunks(vectors), mix), (dense @ v @ mix).T @ (dense @ v @ mix))
+    rows = {r["row"]: r["vec"] for r in linear.project(blocks, vectors.where("col < 400"), 3).collect()}
+    assert np.allclose([rows[r] for r in names], dense[:, :400] @ v[:400]) and len(rows) == len(names)
+    few = cells.where("row = 3 and col < 250 or row = 4 and col >= 250")
+    assert {r["row"] for r in linear.project(few, vectors.where("col < 250"), 3).collect()} == {3}
