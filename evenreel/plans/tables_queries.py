@@ -11,7 +11,7 @@ from evenreel.operators import catalogue as cat
 from evenreel.operators import interactions as inter
 from evenreel.plans.oracle import band, band_no, marker, norm, statement, variants
 from evenreel.plans.registry import query, r6
-from evenreel.session import scratch_path, written
+from evenreel.session import scratch_path, sized_shuffles, written
 from evenreel.sources import archive as archive_source
 from evenreel.sources import dumps, export, payloads, store
 from evenreel.sources.files import read_text_csv
@@ -897,9 +897,20 @@ def _by_film(t):
     return crowd.ratings_by_film(crowd.latest_snapshot(t.crowd()), _slugs(t))
 
 
+def _written_by_size(t, build, label):
+    """A table over the crowd's ratings, written by tasks of a size that the ratings do not change."""
+    with sized_shuffles(t.spark, t.raw("lineitem").count()):  # a rating per line
+        return written(build(), label)
+
+
+def _pool(t):
+    """Read several times by the reports, and far smaller than the ratings."""
+    return _written_by_size(t, lambda: crowd.pool(_by_film(t), t.catalogue()), "pool")
+
+
 @query("ratings_by_film", statement("select member, tmdb_id, rating, dump from by_film", "by_film"))
 def ratings_by_film(t):
-    return _by_film(t)
+    return _written_by_size(t, lambda: _by_film(t), "by-film")
 
 
 @query(
@@ -944,7 +955,7 @@ def rated_ids(t):
 
 @query("pool", statement("select tmdb_id, raters from pool", "pool"))
 def pool(t):
-    return crowd.pool(_by_film(t), t.catalogue())
+    return _pool(t)
 
 
 @query(
@@ -957,7 +968,7 @@ def pool(t):
     ),
 )
 def rated_elsewhere(t):
-    return crowd.rated_elsewhere(_by_film(t), t.catalogue())
+    return _written_by_size(t, lambda: crowd.rated_elsewhere(_by_film(t), t.catalogue()), "rated-elsewhere")
 
 
 @query(
@@ -977,7 +988,7 @@ def rated_elsewhere(t):
 )
 def pool_summary(t):
     known = archive.clean_links(t.links()).select(F.col("tmdbId").alias("tmdb_id"))
-    summary = crowd.pool_summary(crowd.pool(_by_film(t), t.catalogue()), t.catalogue(), known)
+    summary = crowd.pool_summary(_pool(t), t.catalogue(), known)
     return summary.select(
         "films", *r6("cold_share", "median_votes"), "zero_votes", *r6("under_20_share"), "validated"
     )
@@ -995,7 +1006,7 @@ def pool_summary(t):
     ),
 )
 def pool_by_year(t):
-    report = crowd.pool_by_year(crowd.pool(_by_film(t), t.catalogue()), t.catalogue(), 1940, 2005)
+    report = crowd.pool_by_year(_pool(t), t.catalogue(), 1940, 2005)
     return report.select("year", "catalogue", "pool", *r6("share"))
 
 
