@@ -6,7 +6,8 @@ into t + 1 pieces: at least one of them then stands in the other, and among thos
 that has at most as many edits before it as pieces before it, and likewise behind.
 So each pair of lengths has an index of pieces, which a text asks for at the few
 places where they may stand. Nothing is lost and no two titles are paired that share
-no piece. Years are compared in the same join, by blocks of five.
+no piece. Years are compared in the same join, by blocks of five, and to the year
+once the texts are scored: a pair of texts is scored once, whatever its years.
 
 A piece that many titles of a length and block share is asked for no more: those
 titles are cut into t + 2 pieces, of which two must stand, and are joined by pairs
@@ -36,6 +37,8 @@ CROWD = 256
 _SCORE = int(MEDIUM_SCORE)
 _SPAN = 2 * MEDIUM_YEARS + 1  # the years around one year lie in two blocks at most
 _TEXT = ("way", "text", "year")
+#: Texts of one pair of lengths that a task cuts into pieces: a few hundred each.
+CELLS_PER_TASK = 1 << 12
 
 
 @F.pandas_udf(T.DoubleType())
@@ -80,18 +83,26 @@ def _key(*parts: str) -> Column:
     return F.xxhash64("way", "block", "n", "m", *parts).alias("key")
 
 
+def _spread(rows: DataFrame, label: str) -> DataFrame:
+    """Few rows of which each becomes hundreds, dealt to tasks by their number and not their bytes."""
+    rows = written(rows, label)
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(own, -(-rows.count() // CELLS_PER_TASK)))
+
+
 def _indexed(texts: DataFrame) -> DataFrame:
-    blocks = texts.withColumn("block", F.floor(F.col("year") / _SPAN))
-    return _lengths(blocks, "n", "m")
+    """A text counts once per block of years, however many of its years lie there."""
+    block = F.floor(F.col("year") / _SPAN).alias("block")
+    return _lengths(_spread(texts.select("way", "text", block).distinct(), "indexed-texts"), "n", "m")
 
 
 def _asked(texts: DataFrame) -> DataFrame:
     around = [F.floor((F.col("year") + d) / _SPAN) for d in (-MEDIUM_YEARS, MEDIUM_YEARS)]
-    blocks = texts.withColumn("block", F.explode(F.array_distinct(F.array(*around))))
-    return _lengths(blocks, "m", "n")
+    blocks = texts.select("way", "text", F.explode(F.array_distinct(F.array(*around))).alias("block"))
+    return _lengths(_spread(blocks.distinct(), "asked-texts"), "m", "n")
 
 
-_CELL = (*_TEXT, "block", "n", "m", "edits")
+_CELL = ("way", "text", "block", "n", "m", "edits")
 
 
 def _indexed_pieces(cells: DataFrame) -> DataFrame:
@@ -138,7 +149,7 @@ def _indexed_pairs(cells: DataFrame) -> DataFrame:
         _piece_pairs(cells)
         .withColumn("left", _cut(F.col("start_i"), F.col("length_i")))
         .withColumn("right", _cut(F.col("start_j"), F.col("length_j")))
-        .select(*_TEXT, _key("i", "j", "left", "right"))
+        .select("way", "text", _key("i", "j", "left", "right"))
     )
 
 
@@ -164,22 +175,36 @@ def _asked_pairs(cells: DataFrame) -> DataFrame:
         )
         .withColumn("left", _cut(at_i, F.col("length_i")))
         .withColumn("right", _cut(at_j, F.col("length_j")))
-        .select(*_TEXT, _key("i", "j", "left", "right"))
+        .select("way", "text", _key("i", "j", "left", "right"))
     )
 
 
+def _edits(text: str, found: str) -> Column:
+    """Insertions and deletions that two texts of a score of 85 or more are apart at most."""
+    return F.floor((F.length(text) + F.length(found)) * (100 - _SCORE) / 100).cast("int")
+
+
 def _meet(asked: DataFrame, indexed: DataFrame) -> DataFrame:
-    other = indexed.select("key", "way", F.col("text").alias("found"), F.col("year").alias("found_year"))
-    near = F.abs(F.col("year") - F.col("found_year")) <= MEDIUM_YEARS
+    """(way, text, found): texts that share a key and, by edits of any kind, may be near enough."""
+    other = indexed.select("key", "way", F.col("text").alias("found"))
+    apart = F.call_function("levenshtein", F.col("text"), F.col("found"))
     return (
-        asked.select("key", *_TEXT)
+        asked.select("key", "way", "text")
         .join(other, ["key", "way"])
-        .where(near)
-        .select(*_TEXT, "found", "found_year")
+        .where(apart <= _edits("text", "found"))
+        .select("way", "text", "found")
         .distinct()
     )
 
 
+def _with_years(pairs: DataFrame, asked: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The pairs in all years within two of each other that their texts have."""
+    within = F.array(*[F.col("year") + d for d in range(-MEDIUM_YEARS, MEDIUM_YEARS + 1)])
+    around = asked.select(*_TEXT, F.explode(within).alias("found_year"))
+    other = indexed.select("way", F.col("text").alias("found"), F.col("year").alias("found_year"))
+    return pairs.join(around, ["way", "text"]).join(other, ["way", "found", "found_year"])
+
+
 def similar_texts(asked: DataFrame, indexed: DataFrame, *, crowd: int = CROWD) -> DataFrame:
     """All pairs of texts of one way at a score of 85 or more, years within two.
 
@@ -192,14 +217,17 @@ def similar_texts(asked: DataFrame, indexed: DataFrame, *, crowd: int = CROWD) -
         index.groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded-pieces"
     )
     single = _meet(probes, index.join(crowded, "key", "left_anti"))
-    in_crowd = lambda rows: rows.join(crowded, "key", "left_semi").select(*_CELL).distinct()
+    in_crowd = lambda rows: _spread(
+        rows.join(crowded, "key", "left_semi").select(*_CELL).distinct(), "crowded-texts"
+    )
     double = _meet(_asked_pairs(in_crowd(probes)), _indexed_pairs(in_crowd(index)))
     pairs = single.union(double).distinct()
     equal = F.col("text") == F.col("found")
     # Python is handed two empty texts in place of an equal pair
     blank = lambda c: F.when(equal, F.lit("")).otherwise(F.col(c))
     score = F.when(equal, 100.0).otherwise(_ratio(blank("text"), blank("found")))
-    return pairs.withColumn("score", score).where(F.col("score") >= MEDIUM_SCORE)
+    scored = written(pairs.withColumn("score", score), "scored-texts").where(F.col("score") >= MEDIUM_SCORE)
+    return _with_years(scored, asked, indexed).select(*_TEXT, "found", "found_year", "score")
 
 
 def _entries(catalogue: DataFrame) -> DataFrame:

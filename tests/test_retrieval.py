@@ -64,6 +64,23 @@ def test_few_pairs_are_compared(spark):
     assert 300 <= met.count() < 300 * 300 / 20
 
 
+def test_a_text_is_cut_once_per_block_of_years_and_by_many_tasks(spark, monkeypatch):
+    texts = lambda years: spark.createDataFrame([("written", "night ferry", 1990 + y) for y in range(years)], TEXTS)
+    assert retrieval._indexed(texts(5)).count() == retrieval._indexed(texts(1)).count()
+    assert retrieval._asked(texts(5)).count() == 3 * retrieval._asked(texts(5)).where("block = 398").count()
+    monkeypatch.setattr(retrieval, "CELLS_PER_TASK", 2)
+    many = spark.createDataFrame([("written", f"night ferry {i}", 1990) for i in range(40)], TEXTS)
+    assert retrieval._indexed(many).rdd.getNumPartitions() == 20
+
+
+def test_years_are_met_to_the_year(spark):
+    asked = spark.createDataFrame([("written", "night ferry", y) for y in (1990, 1994)], TEXTS)
+    indexed = spark.createDataFrame([("written", "nightferry", y) for y in range(1985, 2000)], TEXTS)
+    found = retrieval.similar_texts(asked, indexed).collect()
+    assert sorted((r["year"], r["found_year"]) for r in found) == [(y, y + d) for y in (1990, 1994) for d in range(-2, 3)]
+    assert {round(r["score"], 6) for r in found} == {round(indel_ratio("night ferry", "nightferry"), 6)}
+
+
 def all_pairs(spark, films, catalogue):
     """Every film with every record, scored by the operator for given candidates."""
     records = catalogue.select(
