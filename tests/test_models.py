@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from evenreel import session
 from evenreel.operators import crossval, features, linear, metadata, models, personal, protocol, ranking, vectors
 
 
@@ -387,6 +388,46 @@ def test_models_on_metadata_predict_every_film_once(shelf):
     assert ((held.predicted - held.actual) ** 2).mean() < 0.2  # the genre tells most of the rating
 
 
+def test_a_fold_describes_its_films_once(shelf, monkeypatch):
+    labels = []
+
+    def written(frame, label, compression=None):
+        labels.append(label)
+        return session.written(frame, label, compression)
+
+    for module in (metadata, crossval):
+        monkeypatch.setattr(module, "written", written)
+    joins = []
+
+    class Reads(personal.ContentRidge):
+        def predict(self, films):
+            joins.append(str(films.select("row", "vec")._jdf.queryExecution().optimizedPlan()).count("Join"))
+            return super().predict(films)
+
+    held = crossval.cross_validate([metadata.OnMetadata(Reads(), metadata.FilmVectors(("genres", "numeric")))], shelf, k=2)
+    assert held.count() == 80
+    # features of a fold's training and held films, predictions per fold, films beside finished vectors
+    assert labels.count("features") == 4 and labels.count("out-of-fold") == 2 and joins == [1, 1]
+
+
+def test_blocks_of_the_fit_are_laid_out_once(shelf, monkeypatch):
+    made, plain = [], features.RowBlocks
+
+    class Counted(plain):
+        def __init__(self, cells):
+            made.append(1)
+            super().__init__(cells)
+
+    for module in (metadata, features):
+        monkeypatch.setattr(module, "RowBlocks", Counted)
+    monkeypatch.setattr(linear, "RowBlocks", Counted)
+    fitted = metadata.FilmVectors(("genres", "keywords"), components=3, keyword_components=2).fit(shelf)
+    own = {r["tmdb_id"]: r["vec"] for r in fitted.vectors(shelf).collect()}
+    assert len(made) == 2  # of the keywords, and of the whole matrix
+    again = {r["tmdb_id"]: r["vec"] for r in fitted.vectors(shelf.select("*")).collect()}
+    assert own.keys() == again.keys() and all(np.allclose(own[i], again[i]) for i in own)
+
+
 def test_debias_on_metadata_finds_its_column(shelf):
     vectors = metadata.FilmVectors(("genres", "numeric"))
     free = metadata.OnMetadata(personal.ContentRidge(debias=True), vectors).fit(shelf)
