@@ -487,3 +487,14 @@ def test_vectors_move_once_per_block_whatever_the_cells(spark, monkeypatch, most
     assert np.allclose([rows[r] for r in names], dense[:, :400] @ v[:400]) and len(rows) == len(names)
     few = cells.where("row = 3 and col < 250 or row = 4 and col >= 250")
     assert {r["row"] for r in linear.project(few, vectors.where("col < 250"), 3).collect()} == {3}
+
+
+def test_words_are_not_shuffled_for_a_vocabulary_that_can_be_broadcast(spark):
+    docs = spark.createDataFrame([(i % 30, f"a b{i % 7} c{i % 3} a") for i in range(60)] + [(None, "a b1"), (3, None)], "row long, text string")
+    block = features.TfIdf(features.TextSettings(sublinear=True)).fit(docs)
+    table = block.transform(docs)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "REPARTITION_BY_COL" in shuffles[0]  # the texts
+    lengths = table.groupBy("row").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
+    assert len(lengths) == 31 and all(abs(r["n"] - 1) < 1e-9 for r in lengths)
