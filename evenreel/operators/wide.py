@@ -92,7 +92,7 @@ def wide_ridge(
     signs = [f"if(pmod(xxhash64(row, {seed}, {i}), 2) = 0, 1D, -1D)" for i in range(probes)]
     sides = rated.select("row", F.expr(f"array({', '.join([f'rating - {mean or 0.0!r}D', *signs])})").alias("t"))
     width = probes + 1
-    blocks = RowBlocks(cells.join(rated, "row", "left_semi"))
+    blocks = RowBlocks(cells.join(rated, "row", "left_semi"), width)
     if not n or not blocks.n_cols:
         nothing = blocks.columns.select("col", F.lit(0.0).alias("weight"))
         return WideFit(nothing, mean, float(grid[-1]), 0)

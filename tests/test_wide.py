@@ -93,3 +93,25 @@ def test_no_cell_moves_in_a_pass(spark, sparse):
     end = next(i for i, line in enumerate(left) if "+-" in line and i > start and line.index("+-") == left[start].index(":-"))
     assert "ExistingRDD" in "".join(left[start:end])
     assert not any(word in line for line in left[start:end] for word in ("Exchange", "Sort"))
+
+
+def test_cells_lie_once_where_few_vectors_pass(spark, monkeypatch):
+    monkeypatch.setattr(linear, "GROUP_CELLS", 2_000)
+    cells = spark.range(20_000).select(
+        (F.col("id") % 900).alias("row"), (F.col("id") % 70).alias("col"), (F.col("id") % 5 - 1.5).alias("value")
+    )
+    blocks = linear.RowBlocks(cells, 9)
+    cores = spark.sparkContext.defaultParallelism
+    assert blocks.blocks == min(10, cores) and blocks.groups == 1
+    laid = blocks.laid.groupBy("_slot").agg(F.sum(F.size("cols")).alias("n")).collect()
+    assert sum(r["n"] for r in laid) == 20_000  # before: once per group of dimensions
+    assert len(laid) == blocks.blocks and max(r["n"] for r in laid) < 3 * 20_000 / blocks.blocks
+    dense = np.zeros((900, 70))
+    for r in cells.toPandas().itertuples():
+        dense[r.row, r.col] += r.value
+    v = np.arange(70 * 9).reshape(70, 9) % 13 - 6.0
+    vectors = spark.createDataFrame([(i, [float(x) for x in line]) for i, line in enumerate(v)], "col long, vec array<double>")
+    image = {r["col"]: r["vec"] for r in blocks.image(vectors, np.eye(9)).collect()}
+    assert np.allclose([image[i] for i in range(70)], dense.T @ (dense @ v))
+    # as many vectors as cells: one block, as without a width
+    assert linear.RowBlocks(cells.withColumn("col", F.monotonically_increasing_id()), 9).blocks == 1
