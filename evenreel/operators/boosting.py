@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +64,20 @@ class Tree:
         return cls(np.full(n, LEAF), np.zeros(n, dtype=int), np.zeros(n))
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
-        """The node, leaf or not yet split, in which each row stands."""
-        at, rows = np.zeros(len(bins), dtype=int), np.arange(len(bins))
-        for _ in range(int(math.log2(len(self.value) + 1)) - 1):
-            column = self.column[at]
-            right = bins[rows, np.maximum(column, 0)] > self.cut[at]
-            at = np.where(column == LEAF, at, 2 * at + 1 + right)
-        return at
+        """The node, leaf or not yet split, in which each row stands.
+
+        Columns are compared whole, so they had better lie in a line each.
+        """
+        kind, kind_of_bins = np.min_scalar_type(len(self.value)), bins.dtype.type  # bytes compare faster than whole numbers
+
+        def below(node: int) -> np.ndarray | np.generic:
+            if self.column[node] == LEAF:
+                return kind.type(node)
+            right = bins[:, self.column[node]] > kind_of_bins(self.cut[node])
+            low, high = below(2 * node + 1), below(2 * node + 2)
+            return low ^ ((low ^ high) * right)  # plain arithmetic on bytes is much faster than a choice per row
+
+        return np.broadcast_to(below(0), len(bins))
 
     def values(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.nodes(bins)]
@@ -90,7 +98,7 @@ class Forest:
 
 def binned(vectors: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """One byte per column: how many edges lie below the value; without a value none does."""
-    out = np.zeros(vectors.shape, dtype=np.uint8)
+    out = np.zeros(vectors.shape, dtype=np.uint8, order="F")
     for i, cuts in enumerate(edges):
         known = ~np.isnan(vectors[:, i])
         out[known, i] = np.searchsorted(cuts, vectors[known, i], side="left")
@@ -155,22 +163,29 @@ class _Rows:
         """Write the predictions that the latest trees of each model lead to."""
         read = _reader(self.models, self.d)
 
-        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if len(batch):
-                    bins, sums = read(batch)
-                    yield batch.assign(sums=[s.tobytes() for s in _advanced(bins, sums, latest)])
+                if batch.num_rows:
+                    bins, sums = read(batch, np.arange(batch.num_rows))
+                    moved = pa.array([s.tobytes() for s in _advanced(bins, sums, latest)], pa.binary())
+                    yield batch.set_column(batch.schema.get_field_index("sums"), "sums", moved)
 
-        self.table = written(self.table.mapInPandas(step, self.schema), "binned")
+        self.table = written(self.table.mapInArrow(step, self.schema), "binned")
 
 
 def _reader(models: int, d: int):
-    """Takes bins and predictions out of a batch, a row each."""
+    """Takes bins (model, column, row) and predictions (row, model) of some rows out of a batch."""
+
+    def lines(column: pa.Array, width: int) -> np.ndarray:
+        """The bytes of a column, a line per row; no row is an object of its own."""
+        column = column.cast(pa.binary())
+        ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(column), width)
 
-    def read(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        n = len(batch)
-        bins = np.frombuffer(b"".join(batch["bins"]), dtype=np.uint8).reshape(n, models, d)
-        return bins, np.frombuffer(b"".join(batch["sums"]), dtype=float).reshape(n, models)
+    def read(batch: pa.RecordBatch, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bins = lines(batch["bins"], models * d)[rows]
+        sums = lines(batch["sums"], 8 * models)[rows].view(float)
+        return np.ascontiguousarray(bins.T).reshape(models, d, len(rows)), sums
 
     return read
 
@@ -179,7 +194,7 @@ def _advanced(bins: np.ndarray, sums: np.ndarray, latest: list[list[Tree]]) -> n
     sums = sums.copy()
     for m, trees in enumerate(latest):
         for tree in trees:
-            sums[:, m] += tree.values(bins[:, m])
+            sums[:, m] += tree.values(bins[m].T)
     return sums
 
 
@@ -191,29 +206,31 @@ def _best_cuts(rows: _Rows, latest, growing: list[Tree], level: int, tree: int,
     read = _reader(rows.models, rows.d)
     models, first, width, bins_n = rows.models, 2**level - 1, 2**level, s.bins
     cols = columns_of_tree(rows.d, tree, s)
-    cells = models * width * len(cols) * bins_n
+    cells = width * bins_n
 
-    def histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, cells))
+    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, models * width, len(cols), bins_n))
         for batch in batches:
-            if not len(batch):
+            rows = np.flatnonzero(drawn(batch["key"].to_numpy(), tree, s.seed) < s.subsample)
+            if not len(rows):
                 continue
-            bins, sums = read(batch)
+            bins, sums = read(batch, rows)
             sums = _advanced(bins, sums, latest)
-            taking = drawn(batch["key"].to_numpy(), tree, s.seed) < s.subsample
-            fold, rating = batch["fold"].to_numpy(), batch["rating"].to_numpy()
+            fold, rating = batch["fold"].to_numpy()[rows], batch["rating"].to_numpy()[rows]
             for m in range(models):
-                node = growing[m].nodes(bins[:, m]) - first
-                use = taking & (fold != m) & (node >= 0)
-                if use.any():
-                    place = (m * width + node[use])[:, None] * len(cols) + np.arange(len(cols))
-                    place = (place * bins_n + bins[use, m][:, cols]).ravel()
+                node = growing[m].nodes(bins[m].T).astype(np.intp) - first
+                use = np.flatnonzero((fold != m) & (node >= 0))
+                if len(use):
+                    start = node[use] * bins_n
                     slope = np.rint((sums[use, m] - rating[use]) / unit)
-                    total[0] += np.bincount(place, np.repeat(slope, len(cols)), cells)
-                    total[1] += np.bincount(place, minlength=cells)
-        by_column = total.reshape(2, models * width, len(cols), bins_n)
+                    own = total[:, m * width : (m + 1) * width]
+                    for i, col in enumerate(cols):
+                        place = start + bins[m, col][use]
+                        own[0, :, i] += np.bincount(place, slope, cells).reshape(width, bins_n)
+                        own[1, :, i] += np.bincount(place, minlength=cells).reshape(width, bins_n)
         if total[1].any():
-            yield pd.DataFrame({"col": cols, "sums": [by_column[:, :, i].tobytes() for i in range(len(cols))]})
+            sums = pa.array([total[:, :, i].tobytes() for i in range(len(cols))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cols, pa.int32()), sums], ["col", "sums"])
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns: dict[int, np.ndarray] = {}
@@ -241,7 +258,7 @@ def _best_cuts(rows: _Rows, latest, growing: list[Tree], level: int, tree: int,
         if best:
             yield pd.DataFrame(list(best.values()), columns=[c.split()[0] for c in _CUT.split(", ")])
 
-    found = rows.table.mapInPandas(histograms, "col int, sums binary").repartition("col").mapInPandas(cuts, _CUT).collect()
+    found = rows.table.mapInArrow(histograms, "col int, sums binary").repartition("col").mapInPandas(cuts, _CUT).collect()
     nodes: dict[tuple[int, int], object] = {}
     for cut in found:
         at = (cut["model"], cut["node"])

@@ -1,6 +1,7 @@
 """Boosted trees against a plain recursive version, and what folds and layouts change."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evenreel.operators import boosting, personal
@@ -102,3 +103,24 @@ def test_subsamples_and_columns_are_drawn_per_tree():
     s = TreeSettings(columns=0.6)
     sets = {tuple(boosting.columns_of_tree(10, tree, s)) for tree in range(20)}
     assert len(sets) > 5 and {len(c) for c in sets} == {6}
+
+
+def test_rows_are_read_from_a_slice_of_a_batch_and_stand_where_a_walk_ends():
+    rng = np.random.default_rng(2)
+    raw, sums = rng.integers(0, 256, (50, 2 * 5), dtype=np.uint8), rng.normal(size=(50, 2))
+    batch = pa.RecordBatch.from_pydict({"bins": [b.tobytes() for b in raw], "sums": [s.tobytes() for s in sums]})
+    rows = np.array([0, 3, 4, 17])
+    bins, found = boosting._reader(2, 5)(batch.slice(20, 25), rows)  # before: pandas rows, an object each
+    assert (bins == raw[20 + rows].T.reshape(2, 5, 4)).all() and (found == sums[20 + rows]).all()
+    for depth in (1, 3, 8):
+        tree = boosting.Tree.of_depth(depth)
+        inner = 2**depth - 1
+        tree.column[:inner] = np.where(rng.random(inner) < 0.8, rng.integers(0, 5, inner), boosting.LEAF)
+        tree.cut[:inner] = rng.integers(0, 256, inner)
+        ends = []
+        for row in raw[:, :5]:
+            at = 0
+            while tree.column[at] != boosting.LEAF:
+                at = 2 * at + 1 + (row[tree.column[at]] > tree.cut[at])
+            ends.append(at)
+        assert list(tree.nodes(raw[:, :5])) == ends
