@@ -87,6 +87,17 @@ def test_tower_scores_match_numpy(truth, ratings, vecs, cases):
     assert np.allclose(got.score, [want[u, i] for u, i in zip(got.userId, got.movieId)])
 
 
+def test_all_users_fit_the_taste_weights(spark, vecs):
+    films = spark.range(20).select(F.col("id").alias("movieId"))
+    stars = (F.pmod(F.xxhash64("userId", "movieId"), F.lit(10)) + 1) / 2
+    many = spark.range(4100).select(F.col("id").alias("userId")).crossJoin(films).withColumn("rating", stars)
+    few = spark.range(9000, 9010).select(F.col("id").alias("userId")).crossJoin(films.where("movieId < 19")).withColumn("rating", stars)
+    ratings, shared = many.unionByName(few).cache(), {}
+    models.ContentTower(vecs).fit(ratings, shared)
+    halves = shared[id(ratings), 0].groupBy("userId").agg(F.count_if("shown").alias("shown"), F.count(F.lit(1)).alias("n"))
+    assert halves.agg(F.count("userId"), F.max("userId"), F.min("shown"), F.max("shown"), F.min("n")).first()[:] == (4100, 4099, 10, 10, 20)
+
+
 def test_tower_learns_that_the_taste_axis_matters(truth, ratings, vecs, cases):
     given, held = cases
     tower = models.ContentTower(vecs).fit(ratings)
