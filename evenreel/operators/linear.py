@@ -298,6 +298,11 @@ class RowBlocks:
 
     def chunks(self, vectors: DataFrame) -> DataFrame:
         """(col, vec) as (_chunk, at, vec): per chunk, places of the columns in it and their vectors in a line."""
+        # Spark takes an array for a few bytes, and might send long vectors to every task through the driver
+        return self.lined_up(vectors.hint("merge").join(self.numbers, "col"))
+
+    def lined_up(self, vectors: DataFrame) -> DataFrame:
+        """`chunks` of vectors that have their columns' numbers: (_number, vec)."""
 
         def line_up(part: pa.Table) -> pa.Table:
             part = part.sort_by("_number")
@@ -305,7 +310,7 @@ class RowBlocks:
             at = (part["_number"].to_numpy() - chunk * CHUNK_COLS).astype("int32")
             return _chunk_table([(chunk, at, part["vec"].combine_chunks().flatten().to_numpy())])
 
-        numbered = vectors.join(self.numbers, "col").select(F.expr(f"_number div {CHUNK_COLS}").alias("_chunk"), "_number", "vec")
+        numbered = vectors.select(F.expr(f"_number div {CHUNK_COLS}").alias("_chunk"), "_number", "vec")
         return numbered.groupBy("_chunk").applyInArrow(line_up, _CHUNKS)
 
     def unchunked(self, chunks: DataFrame, matrix: np.ndarray) -> DataFrame:
@@ -554,8 +559,8 @@ def truncated_svd(
         return Decomposition(blocks.columns.withColumn("vec", flat), np.zeros(k), 0.0)
     # hash digits as a repeatable test matrix, uniform on [-1, 1]
     digits = f"pmod(xxhash64(col, {seed}, i), 1000003) / 500001.5D - 1"
-    start = blocks.columns.withColumn("vec", F.expr(f"transform(sequence(0, {width - 1}), i -> {digits})"))
-    vectors, matrix = blocks.chunks(start), np.eye(width)
+    start = blocks.numbers.withColumn("vec", F.expr(f"transform(sequence(0, {width - 1}), i -> {digits})"))
+    vectors, matrix = blocks.lined_up(start), np.eye(width)
     for _ in range(iterations):
         vectors = written(blocks.image_chunks(vectors, matrix), "vectors")
         matrix = _whitening(self_gram(vectors, matrix.shape[1]))

@@ -473,6 +473,21 @@ def test_svd_of_low_rank_and_empty_matrices(spark):
     assert linear.truncated_svd(one.where("row < 0"), 3).columns.count() == 0
 
 
+def test_no_long_vector_passes_through_the_driver(spark, monkeypatch):
+    cells = spark.range(4000).select((F.col("id") % 80).alias("row"), (F.col("id") % 50).alias("col"), F.lit(1.0).alias("value"))
+    plans, image = [], linear.RowBlocks.image_chunks
+
+    def spied(self, chunks, matrix):
+        plans.append(chunks._jdf.queryExecution().executedPlan().toString())
+        return image(self, chunks, matrix)
+
+    monkeypatch.setattr(linear.RowBlocks, "image_chunks", spied)
+    blocks = linear.RowBlocks(cells)
+    svd = linear.truncated_svd(blocks, 3, iterations=1)
+    plans.append(blocks.chunks(svd.columns)._jdf.queryExecution().executedPlan().toString())
+    assert all("BroadcastHashJoin [col" not in plan for plan in plans) and len(plans) == 2
+
+
 @pytest.mark.parametrize("most", [1 << 25, 100_000])
 def test_vectors_move_once_per_block_whatever_the_cells(spark, monkeypatch, most):
     monkeypatch.setattr(linear, "BLOCK_CELLS", most)
