@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evenreel.functions.numeric import decade
 from evenreel.operators.ordering import largest, score_ranges, value_counts
 from evenreel.operators.quantiles import grouped_quantiles, quantile_buckets
+from evenreel.session import written
 
 # Vote counts under which a film counts as obscure.
 TAIL_THRESHOLDS = (100, 500, 1000, 5000)
@@ -72,6 +73,8 @@ def star_ranges(value: Column) -> Column:
 def taste_summary(rated: DataFrame, group: Sequence[str]) -> DataFrame:
     """Rated films, mean, spread, error floor and two rank correlations."""
     group = list(group)
+    # each step is written, so that its shuffles go before the next one's come
+    rated = written(rated.select(*group, "rating", "vote_count", "vote_average"), "rated")
     base = rated.where(F.col("rating").isNotNull()).groupBy(*group).agg(
         F.count(F.lit(1)).alias("rated_films"),
         F.avg("rating").alias("mean_rating"),
@@ -97,6 +100,7 @@ def taste_summary(rated: DataFrame, group: Sequence[str]) -> DataFrame:
         right_spread=star_ranges(F.col("vote_average")),
         out="rho_crowd",
     )
+    fame, crowd = written(fame, "fame"), written(crowd, "crowd")
     return base.join(fame, group, "left").join(crowd, group, "left")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenreel import session
-from evenreel.operators import crossval, features, linear, metadata, models, personal, protocol, ranking, vectors
+from evenreel.operators import crossval, features, linear, metadata, models, personal, protocol, ranking, reports, vectors
 
 
 @pytest.fixture(scope="module")
@@ -524,3 +524,18 @@ def test_words_are_not_shuffled_for_a_vocabulary_that_can_be_broadcast(spark):
     assert len(shuffles) == 1 and "REPARTITION_BY_COL" in shuffles[0]  # the texts
     lengths = table.groupBy("row").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
     assert len(lengths) == 31 and all(abs(r["n"] - 1) < 1e-9 for r in lengths)
+
+
+def test_correlations_of_a_taste_summary_are_written(spark):
+    rows = [(u, i, float(1 + (3 * u + i * i) % 9) / 2, None if i == 7 else 10 * i % 70, float(i % 5)) for u in range(3) for i in range(12)]
+    rated = spark.createDataFrame(rows + [(None, 1, 2.0, 5, 3.0), (1, 40, None, 5, 3.0)], "userId long, movieId long, rating double, vote_count long, vote_average double")
+    table = reports.taste_summary(rated, ["userId"])
+    assert "Window" not in table._jdf.queryExecution().executedPlan().toString()  # before: all shuffles stayed to the end
+    got = {r["userId"]: r for r in table.collect()}
+    frame = pd.DataFrame(rows, columns=["userId", "movieId", "rating", "vote_count", "vote_average"])
+    assert got.keys() == {None, 0, 1, 2} and got[None]["rated_films"] == 1 and got[None]["rho_crowd"] is None
+    for user, part in frame.groupby("userId"):
+        for column, name in (("vote_count", "rho_popularity"), ("vote_average", "rho_crowd")):
+            known = part.dropna(subset=[column])
+            want = known["rating"].rank().corr(known[column].rank())
+            assert abs(got[user][name] - want) < 1e-9 and got[user]["rated_films"] == 12
