@@ -1753,8 +1753,9 @@ def model_stump(t):
 
 
 def _factor_table(t):
-    factors = models.item_factors(t.model_ratings())
-    return factors.select(F.col("movieId").alias("row"), "item_mean", "factors")
+    """What all ratings say of the labelled films; every fold's fit and prediction joins it."""
+    factors = models.item_factors(t.model_ratings()).select(F.col("movieId").alias("row"), "item_mean", "factors")
+    return written(factors.join(t.labelled_vectors().select("row"), "row", "left_semi"), "film-factors")
 
 
 @query(

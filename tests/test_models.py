@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenreel import session
 from evenreel.operators import crossval, features, linear, metadata, models, personal, protocol, ranking, reports, vectors
+from evenreel.plans import analytics_queries
 
 
 @pytest.fixture(scope="module")
@@ -526,6 +529,19 @@ def test_words_are_not_shuffled_for_a_vocabulary_that_can_be_broadcast(spark):
     assert len(lengths) == 31 and all(abs(r["n"] - 1) < 1e-9 for r in lengths)
 
 
+def test_factors_of_labelled_films_are_made_once(spark, ratings):
+    labelled = spark.createDataFrame([(3,), (4,), (4,), (900,)], "row long")
+    tables = SimpleNamespace(model_ratings=lambda: ratings, labelled_vectors=lambda: labelled)
+    table = analytics_queries._factor_table(tables)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # before: the ratings, again with every use
+    whole = {r["movieId"]: r for r in models.item_factors(ratings).collect()}
+    got = {r["row"]: r for r in table.collect()}
+    assert sorted(got) == [3, 4] and table.count() == 2
+    assert all(abs(got[i]["item_mean"] - whole[i]["item_mean"]) < 1e-12 for i in got)
+    assert all(np.allclose(got[i]["factors"], whole[i]["factors"]) for i in got)
+
+
 def test_correlations_of_a_taste_summary_are_written(spark):
     rows = [(u, i, float(1 + (3 * u + i * i) % 9) / 2, None if i == 7 else 10 * i % 70, float(i % 5)) for u in range(3) for i in range(12)]
     rated = spark.createDataFrame(rows + [(None, 1, 2.0, 5, 3.0), (1, 40, None, 5, 3.0)], "userId long, movieId long, rating double, vote_count long, vote_average double")
