@@ -1,3 +1,4 @@
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -491,6 +492,14 @@ def test_no_long_vector_passes_through_the_driver(spark, monkeypatch):
     assert all("BroadcastHashJoin [col" not in plan for plan in plans) and len(plans) == 2
 
 
+def test_rounds_of_an_svd_leave_one_table_of_vectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_path", lambda spark, label: f"{tmp_path}/{label}-{len(list(tmp_path.glob(label + '*')))}-{time.time_ns()}")
+    cells = spark.range(900).select((F.col("id") % 90).alias("row"), F.pmod(F.xxhash64("id"), F.lit(40)).alias("col"), F.lit(1.0).alias("value"))
+    svd = linear.truncated_svd(cells, 3, iterations=3)
+    assert len(list(tmp_path.glob("vectors-*"))) == 1  # before: one per round beside it
+    assert svd.columns.count() == 40
+
+
 @pytest.mark.parametrize("most", [1 << 25, 100_000])
 def test_vectors_move_once_per_block_whatever_the_cells(spark, monkeypatch, most):
     monkeypatch.setattr(linear, "BLOCK_CELLS", most)
